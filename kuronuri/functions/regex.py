@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from kuronuri.functions.arrays import empty, fold_emit, let
 
-# What \w \d \s mean in Python, spelled as character-class content for Java.
-_CLASS = {
-    "w": r"\p{L}\p{N}_",
-    "d": r"\p{Nd}",
-    "s": r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
-}
-SPACE = f"[{_CLASS['s']}]"
-MATCH = "struct<s:int,e:int,m:string>"
+# What \w \d \s mean in Python, as character-class content under Java's (?U).
+_CLASS = {"w": r"\p{L}\p{N}_", "d": r"\d", "s": r"\s\x1c-\x1f"}
+SPACE = r"(?U:[\s\x1c-\x1f])"
+NOT_SPACE = r"(?U:[^\s\x1c-\x1f])"
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
     """Spell a Python pattern for Spark so that it matches the same strings.
 
-    ``(?d)`` makes only ``\\n`` a line end; shorthand classes are written out
-    because Java's Unicode classes take in marks that Python's leave out.
+    ``d`` makes only ``\\n`` a line end and ``U`` makes classes Unicode.  ``\\w`` and
+    ``\\s`` are written out, because Java's take in marks that Python's leave out,
+    and leave out four separators that Python's take in.
     """
     out, i, depth = [], 0, 0
     while i < len(pattern):
@@ -50,7 +47,7 @@ def java_regex(pattern: str, flags: str = "") -> str:
         else:
             out.append(two[0])
         i += 1
-    return f"(?d{flags})" + "".join(out)
+    return f"(?Ud{flags})" + "".join(out)
 
 
 def has_any(text: Column, literals) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.arrays import empty, fold_emit
+from kuronuri.functions.arrays import empty, fold_emit, let
+from kuronuri.functions.company import suffix_spans
 from kuronuri.functions.regex import java_regex, match_spans
 from kuronuri.functions.spans import CANDIDATE, candidate, resolve_first
 from kuronuri.operators.dictionary import DictMatcher
@@ -19,13 +20,16 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = tuple(vocab.PATTERNS.values())
 FULL_FLAGS = "ims"  # the full tier matches dot-all, multi-line, ignoring case
 
 
+def _matches(text: Column, pattern: Pattern, flags: str = "") -> Column:
+    if pattern == vocab.PATTERNS["det_company_suffix"]:
+        return suffix_spans(text)  # no letters and no dots: flags change nothing
+    return match_spans(text, java_regex(pattern.regex, flags), pattern.needs, hint=pattern.hint)
+
+
 def pattern_spans(text: Column, pattern: Pattern, ord: int = 0, flags: str = "",
                   allow: Column | None = None) -> Column:
     """Candidates of one pattern; raw texts on the allow-list are left out."""
-    if "i" in flags:
-        flags += "u"
-    found = match_spans(text, java_regex(pattern.regex, flags), pattern.needs,
-                        hint=pattern.hint)
+    found = _matches(text, pattern, flags)
     if allow is not None:
         found = F.filter(found, lambda m: ~F.array_contains(allow, m.m))
     return F.transform(
@@ -66,14 +70,14 @@ def dedupe_contained(cands: Column) -> Column:
             c.ord.alias("ord"),
         )
 
-    return F.filter(
-        cands,
-        lambda c: ~F.exists(
-            cands,
-            lambda d: (d.entity == c.entity) & (d.start <= c.start) & (d.end >= c.end)
+    def inside_other(all_: Column, c: Column) -> Column:
+        return F.exists(
+            all_,
+            lambda d: (d.start <= c.start) & (d.end >= c.end) & (d.entity == c.entity)
             & (rank(d) < rank(c)),
-        ),
-    )
+        )
+
+    return let(cands, lambda all_: F.filter(all_, lambda c: ~inside_other(all_, c)))
 
 
 def full_candidates(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,
@@ -214,8 +218,7 @@ def detect(docs: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,
 
 def detect_pattern(docs: DataFrame, pattern: Pattern) -> DataFrame:
     """One row per match of one pattern."""
-    found = match_spans(F.col("text"), java_regex(pattern.regex), pattern.needs,
-                        hint=pattern.hint)
+    found = _matches(F.col("text"), pattern)
     return (
         docs.select("doc_id", F.explode_outer(found).alias("m"))
         .where(F.col("m").isNotNull())

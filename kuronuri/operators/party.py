@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.arrays import empty
+from kuronuri.functions.arrays import empty, let
 from kuronuri.functions.regex import SPACE, java_regex, match_spans
 from kuronuri.functions.text import strip
 
 _END = r"\z"
 
 
-def clean_name(name: Column, max_len: int = 60) -> Column:
+def clean_name(name: Column) -> Column:
     """Entity name without role word in front and without joining particles around it.
 
     One pass takes each leading word as often as it stands there (never the whole
@@ -40,10 +40,14 @@ def clean_name(name: Column, max_len: int = 60) -> Column:
 
     # Every pass that changes anything removes a character, and a name that is
     # clean is passed on untouched.
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_len)), start,
-        lambda s, _: F.when(s.rlike(dirty), one_pass(s)).otherwise(s),
-    )
+    def clean(s: Column) -> Column:
+        passes = F.aggregate(
+            F.sequence(F.lit(1), F.length(s)), s,
+            lambda t, _: F.when(t.rlike(dirty), one_pass(t)).otherwise(t),
+        )
+        return F.when(s.rlike(dirty), passes).otherwise(s)
+
+    return let(start, clean)
 
 
 DEFINITION = (
@@ -59,9 +63,7 @@ def _definition(kind: int, label: Column, name: Column, position: Column, m: Col
 
 
 def _name(raw: Column) -> Column:
-    return F.transform(
-        F.array(clean_name(raw)), lambda n: F.when(F.length(n) >= 2, n).otherwise(F.lit(""))
-    )[0]
+    return let(clean_name(raw), lambda n: F.when(F.length(n) >= 2, n).otherwise(F.lit("")))
 
 
 def position_define(label: Column) -> Column:
@@ -90,7 +92,9 @@ def define_matches(head: Column) -> Column:
     ms = match_spans(head, java_regex(vocab.PARTY_DEFINE), (("以下",), ("という",)), groups=(1, 2))
     return F.transform(
         ms,
-        lambda m: _definition(1, strip(m.g2), _name(m.g1), position_define(strip(m.g2)), m),
+        lambda m: let(
+            strip(m.g2), lambda lb: _definition(1, lb, _name(m.g1), position_define(lb), m)
+        ),
     )
 
 
@@ -100,7 +104,9 @@ def reverse_matches(head: Column) -> Column:
     ms = match_spans(head, java_regex(vocab.PARTY_REVERSE), needs, groups=(1, 2))
     return F.transform(
         ms,
-        lambda m: _definition(2, strip(m.g1), _name(m.g2), position_reverse(strip(m.g1)), m),
+        lambda m: let(
+            strip(m.g1), lambda lb: _definition(2, lb, _name(m.g2), position_reverse(lb), m)
+        ),
     )
 
 
@@ -109,7 +115,9 @@ def role_matches(head: Column) -> Column:
     ms = match_spans(head, java_regex(vocab.PARTY_ROLE), (("以下",), ("という",)), groups=(1,))
     return F.transform(
         ms,
-        lambda m: _definition(3, strip(m.g1), F.lit(""), position_role(strip(m.g1)), m),
+        lambda m: let(
+            strip(m.g1), lambda lb: _definition(3, lb, F.lit(""), position_role(lb), m)
+        ),
     )
 
 
@@ -119,9 +127,14 @@ def head_of(text: Column, chars: int = vocab.HEAD_CHARS) -> Column:
 
 def dedupe_definitions(defs: Column) -> Column:
     """First definition of each label wins; a blank label defines nothing."""
-    labels = F.transform(defs, lambda d: d.label)
-    return F.filter(
-        defs, lambda d, i: (d.label != "") & (F.array_position(labels, d.label) == i + 1)
+
+    def firsts(v: Column) -> Column:
+        return F.filter(
+            v.defs, lambda d, i: (d.label != "") & (F.array_position(v.labels, d.label) == i + 1)
+        )
+
+    return let(
+        F.struct(defs.alias("defs"), F.transform(defs, lambda d: d.label).alias("labels")), firsts
     )
 
 
