@@ -6,6 +6,9 @@ import importlib
 
 MODULES = (
     "queries_detect",
+    "queries_mask",
+    "queries_party",
+    "queries_functions",
 )
 
 

@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kuronuri.sources.texts import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def _pad(expr: str, n: int) -> str:
     return f"lpad(cast({expr} as string), {n}, '0')"
 
@@ -80,7 +86,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer with one supplier: ``(k, c_name, s_name)``."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     count = supplier.agg(F.count("*").alias("n")).scalar()
-    customer = table(spark, sf_dir, "customer").select(
+    customer = texts(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("k"), "c_name", (F.col("c_custkey") % count).alias("s_suppkey")
     )
     return customer.join(supplier, "s_suppkey").select("k", "c_name", "s_name")
@@ -114,13 +120,13 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.expr("concat('d', doc_id)").alias("doc_id"), "text"
     )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         F.expr("concat('p', page_id)").alias("doc_id"), F.col("html").alias("text")
     )
 

@@ -67,3 +67,13 @@ def payload_spans(payloads: DataFrame) -> DataFrame:
 
 def payload_reviews(payloads: DataFrame) -> DataFrame:
     return payloads.select("doc_id", F.explode("review_items").alias("r")).select("doc_id", "r.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of few files over all cores.
+
+    Detection is bound by the processor, so a scan with fewer partitions than
+    cores leaves cores idle.  A large scan has more and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
