@@ -32,10 +32,13 @@ def part(spark, sf_dir):
 # --- text functions over whole documents ----------------------------------------------
 
 
-@query("fn_norm_term", f"select doc_id, {o.norm('text')} as term from ({fx.MIXED_SQL}) where text not like '%（%'"
-       f" union all select doc_id, {o.norm(o.q('') + '||' + 'replace(replace(text, ' + o.q('（') + ', ' + o.q('(') + '), ' + o.q('）') + ', ' + o.q(')') + ')')} from ({fx.MIXED_SQL}) where text like '%（%'")
+@query(
+    "fn_norm_term",
+    f"select doc_id, {o.norm('t')} as term from"
+    f" (select doc_id, translate(text, '（）：', '():') as t from ({fx.MIXED_SQL}))",
+)
 def fn_norm_term(spark, sf_dir):
-    """Normal form of whole texts (round brackets are their only compatibility forms)."""
+    """Normal form of whole texts (their compatibility forms are round brackets, colon and blank)."""
     return fx.mixed(spark, sf_dir).select("doc_id", tx.norm_term(F.col("text")).alias("term"))
 
 
@@ -299,7 +302,8 @@ def _terms(spark, sf_dir, table, col):
 
 
 def _dict_sql(select: str, col: str, bounded: bool) -> str:
-    core = "Supplier#[0-9]{9}" if bounded else "Brand#[0-9]{1,2}"
+    # Brands run from 1 to 25, so the longest term at a place is one of these.
+    core = "Supplier#[0-9]{9}" if bounded else "Brand#(?:1[0-9]|2[0-5]|[1-9])"
     if bounded:
         spans = o.in_runs("corpus", rf"[{o.WORD}#]+", "(?i)" + core, o.WORD, o.WORD)
     else:
@@ -313,22 +317,24 @@ def _dict_sql(select: str, col: str, bounded: bool) -> str:
 
 # Texts in which names stand alone, next to letters, next to each other and in capitals.
 DICT_TEXT = (
-    "concat('Brand#', l_partkey % 60, 'Brand#', l_suppkey % 60, ' (', s_name, ') ', upper(s_name), 'x ',"
+    "concat('Brand#', k % 60, 'Brand#', (k * 7) % 60, ' (', s_name, ') ', upper(s_name), 'x ',"
     " s_name, '・', s_name, 'の')"
 )
 DICT_SQL = (
-    f"select concat('l', l_orderkey, '_', l_linenumber) as doc_id, {DICT_TEXT} as text"
-    f" from lineitem join supplier on s_suppkey = l_suppkey union all {fx.DOCUMENTS_SQL}"
+    f"select concat('o', k) as doc_id, {DICT_TEXT} as text from (select o_orderkey as k, s_name from orders"
+    " join supplier on s_suppkey = o_orderkey % (select count(*) from supplier))"
+    f" union all {fx.DOCUMENTS_SQL}"
 )
 
 
 def _dict_docs(spark, sf_dir):
-    lines = fx.texts(spark, sf_dir, "lineitem").join(
-        fx.table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")
-    )
+    supplier = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    count = supplier.agg(F.count("*").alias("n")).scalar()
+    lines = fx.texts(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % count).alias("s_suppkey")
+    ).join(supplier, "s_suppkey")
     return lines.select(
-        F.expr("concat('l', l_orderkey, '_', l_linenumber)").alias("doc_id"),
-        F.expr(DICT_TEXT).alias("text"),
+        F.expr("concat('o', k)").alias("doc_id"), F.expr(DICT_TEXT).alias("text")
     ).unionByName(fx.documents(spark, sf_dir))
 
 
