@@ -57,40 +57,56 @@ def has_any(text: Column, literals) -> Column:
     return cond
 
 
-def match_spans(text: Column, regex: str, needs=(), groups=(), hint: str = "") -> Column:
-    """All matches of a Java pattern as ``array<struct<s,e,m[,g1..]>>`` in code points.
+def could_match(text: Column, regex: str, needs=(), hint: str = "") -> Column:
+    """A cheap filter: false only where ``regex`` has no match."""
+    hit = text.rlike(java_regex(hint) if hint else regex)
+    for group in needs:
+        hit = has_any(text, group) & hit
+    return hit
 
-    The pieces between matches and the matches interleave, so offsets are the
-    running sum of their lengths: two passes of the regex engine in the JVM.
-    Texts that miss a needed literal, or do not match at all, skip that work.
-    """
+
+def matches_and_gaps(text: Column, regex: str, groups=()) -> list[Column]:
+    """The matches ``m``, the pieces around them ``g`` and capture groups ``g1``.."""
     p = F.lit(regex)
-    names = [f"g{n}" for n in groups]
-    out_type = "struct<s:int,e:int,m:string" + "".join(f",{n}:string" for n in names) + ">"
-    bound = F.struct(
+    return [
         F.regexp_extract_all(text, p, F.lit(0)).alias("m"),
         F.split(text, regex, -1).alias("g"),
         *[F.regexp_extract_all(text, p, F.lit(n)).alias(f"g{n}") for n in groups],
-    )
+    ]
+
+
+def offsets(v: Column, groups=()) -> Column:
+    """``array<struct<s,e,m,..>>`` from the parts of :func:`matches_and_gaps`.
 
-    def spans(v: Column) -> Column:
-        # A zero-width match at the very start yields no empty piece before it.
-        gaps = F.when(F.size(v.g) == F.size(v.m), F.concat(F.array(F.lit("")), v.g)).otherwise(v.g)
-        fields = [F.slice(gaps, 1, F.size(v.m)).alias("gap"), v.m.alias("m")]
-        rows = F.arrays_zip(*fields, *[v[n].alias(n) for n in names])
-        init = F.struct(F.lit(0).alias("pos"))
+    The pieces between matches and the matches interleave, so offsets are the
+    running sum of their lengths.
+    """
+    names = [f"g{n}" for n in groups]
+    out_type = "struct<s:int,e:int,m:string" + "".join(f",{n}:string" for n in names) + ">"
+    # A zero-width match at the very start yields no empty piece before it.
+    gaps = F.when(F.size(v.g) == F.size(v.m), F.concat(F.array(F.lit("")), v.g)).otherwise(v.g)
+    fields = [F.slice(gaps, 1, F.size(v.m)).alias("gap"), v.m.alias("m")]
+    rows = F.arrays_zip(*fields, *[v[n].alias(n) for n in names])
 
-        def step(st, x):
-            s = st.pos + F.length(x.gap)
-            e = s + F.length(x.m)
-            row = F.struct(
-                s.alias("s"), e.alias("e"), x.m.alias("m"), *[x[n].alias(n) for n in names]
-            )
-            return F.struct(e.alias("pos")), e > s, row
+    def step(st, x):
+        s = st.pos + F.length(x.gap)
+        e = s + F.length(x.m)
+        row = F.struct(
+            s.alias("s"), e.alias("e"), x.m.alias("m"), *[x[n].alias(n) for n in names]
+        )
+        return F.struct(e.alias("pos")), e > s, row
 
-        return fold_emit(rows, init, step, out_type)
+    return fold_emit(rows, F.struct(F.lit(0).alias("pos")), step, out_type)
 
-    hit = text.rlike(java_regex(hint) if hint else regex)
-    for group in needs:
-        hit = has_any(text, group) & hit
-    return F.when(hit, let(bound, spans)).otherwise(empty(out_type))
+
+def match_spans(text: Column, regex: str, needs=(), groups=(), hint: str = "") -> Column:
+    """All matches of a Java pattern as ``array<struct<s,e,m[,g1..]>>`` in code points.
+
+    Two passes of the regex engine in the JVM; texts that miss a needed literal,
+    or do not match at all, skip that work.
+    """
+    out_type = "struct<s:int,e:int,m:string" + "".join(f",g{n}:string" for n in groups) + ">"
+    bound = F.struct(*matches_and_gaps(text, regex, groups))
+    return F.when(
+        could_match(text, regex, needs, hint), let(bound, lambda v: offsets(v, groups))
+    ).otherwise(empty(out_type))

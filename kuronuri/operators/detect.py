@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from kuronuri import vocab
 from kuronuri.functions.arrays import empty, fold_emit, let
 from kuronuri.functions.company import suffix_spans
-from kuronuri.functions.regex import java_regex, match_spans
+from kuronuri.functions.regex import (
+    could_match,
+    java_regex,
+    match_spans,
+    matches_and_gaps,
+    offsets,
+)
 from kuronuri.functions.spans import CANDIDATE, candidate, resolve_first
 from kuronuri.operators.dictionary import DictMatcher
 from kuronuri.policy import Policy
@@ -20,31 +26,61 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = tuple(vocab.PATTERNS.values())
 FULL_FLAGS = "ims"  # the full tier matches dot-all, multi-line, ignoring case
 
 
-def _matches(text: Column, pattern: Pattern, flags: str = "") -> Column:
-    if pattern == vocab.PATTERNS["det_company_suffix"]:
-        return suffix_spans(text)  # no letters and no dots: flags change nothing
-    return match_spans(text, java_regex(pattern.regex, flags), pattern.needs, hint=pattern.hint)
+SUFFIX = vocab.PATTERNS["det_company_suffix"]
 
 
-def pattern_spans(text: Column, pattern: Pattern, ord: int = 0, flags: str = "",
-                  allow: Column | None = None) -> Column:
-    """Candidates of one pattern; raw texts on the allow-list are left out."""
-    found = _matches(text, pattern, flags)
-    if allow is not None:
-        found = F.filter(found, lambda m: ~F.array_contains(allow, m.m))
+def _matches(text: Column, pattern: Pattern) -> Column:
+    if pattern == SUFFIX:
+        return suffix_spans(text)
+    return match_spans(text, java_regex(pattern.regex), pattern.needs, hint=pattern.hint)
+
+
+def _suffix_candidates(text: Column, p: Pattern, ord: int) -> Column:
     return F.transform(
-        found,
-        lambda m: candidate(m.s, m.e, pattern.entity, pattern.score, pattern=pattern.name,
-                            ord=ord, original=m.m),
+        suffix_spans(text),
+        lambda x: candidate(x.s, x.e, p.entity, p.score, pattern=p.name, ord=ord, original=x.m),
     )
 
 
+def pattern_spans(text: Column, patterns: Sequence[Pattern], flags: str = "") -> Column:
+    """Candidates of all patterns, pattern by pattern.
+
+    The parts of every pattern that can match are gathered first, and one fold
+    turns each of them into spans: the expression stays small, and a text pays
+    only for patterns that occur in it.
+    """
+    if "i" in flags:
+        flags += "u"
+    parts, extra = [], []
+    for i, p in enumerate(patterns):
+        if p == SUFFIX:  # no letters and no dots: flags change nothing
+            extra.append(_suffix_candidates(text, p, i))
+            continue
+        rx = java_regex(p.regex, flags)
+        part = F.struct(
+            *matches_and_gaps(text, rx), F.lit(p.entity).alias("entity"),
+            F.lit(p.score).alias("score"), F.lit(p.name).alias("pattern"), F.lit(i).alias("ord"),
+        )
+        parts.append(F.when(could_match(text, rx, p.needs, p.hint), part))
+    found = F.flatten(
+        F.transform(
+            F.array_compact(F.array(*parts)),
+            lambda v: F.transform(
+                offsets(v),
+                lambda x: candidate(x.s, x.e, v.entity, v.score, pattern=v.pattern, ord=v.ord,
+                                    original=x.m),
+            ),
+        )
+    ) if parts else empty(CANDIDATE)
+    return F.concat(found, *extra) if extra else found
+
+
 def detect_fast(text: Column, allow: Column | None = None,
                 patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
     """Union of all patterns, overlaps left in, sorted by start and longest first."""
-    found = F.concat(
-        *[pattern_spans(text, p, i, allow=allow) for i, p in enumerate(patterns)]
-    )
+    found = pattern_spans(text, patterns)
+    if allow is not None:
+        found = F.filter(found, lambda c: ~F.array_contains(allow, c.original))
     order = F.array_sort(
         F.transform(
             found,
@@ -82,10 +118,10 @@ def dedupe_contained(cands: Column) -> Column:
 
 def full_candidates(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,
                     dict_spans: Column | None = None) -> Column:
-    arrays = [pattern_spans(text, p, i, FULL_FLAGS) for i, p in enumerate(patterns)]
-    if dict_spans is not None:
-        arrays.append(F.coalesce(dict_spans, empty(CANDIDATE)))
-    return F.concat(*arrays)
+    found = pattern_spans(text, patterns, FULL_FLAGS)
+    if dict_spans is None:
+        return found
+    return F.concat(found, F.coalesce(dict_spans, empty(CANDIDATE)))
 
 
 def finish_full(cands: Column, allow: Column, priorities) -> Column:

@@ -9,6 +9,7 @@ MODULES = (
     "queries_mask",
     "queries_party",
     "queries_functions",
+    "queries_tables",
 )
 
 

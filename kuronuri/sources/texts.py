@@ -62,11 +62,17 @@ def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 
 def payload_spans(payloads: DataFrame) -> DataFrame:
-    return payloads.select(F.explode("spans").alias("s")).select("s.*")
+    return _items(payloads, "spans").select("item.*")
 
 
 def payload_reviews(payloads: DataFrame) -> DataFrame:
-    return payloads.select("doc_id", F.explode("review_items").alias("r")).select("doc_id", "r.*")
+    return _items(payloads, "review_items").select("doc_id", "item.*")
+
+
+def _items(payloads: DataFrame, name: str) -> DataFrame:
+    # The outer form keeps the optimizer from copying the array into a filter.
+    rows = payloads.select("doc_id", F.explode_outer(name).alias("item"))
+    return rows.where(F.col("item").isNotNull())
 
 
 def spread(df: DataFrame) -> DataFrame:
