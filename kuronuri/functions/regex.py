@@ -50,6 +50,11 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags})" + "".join(out)
 
 
+def whole_characters(regex: str) -> str:
+    """Keep a pattern that may match nothing from doing so inside a surrogate pair."""
+    return rf"(?![\x{{dc00}}-\x{{dfff}}])(?:{regex})"
+
+
 def has_any(text: Column, literals) -> Column:
     cond = F.lit(False)
     for lit in literals:

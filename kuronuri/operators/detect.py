@@ -16,6 +16,7 @@ from kuronuri.functions.regex import (
     match_spans,
     matches_and_gaps,
     offsets,
+    whole_characters,
 )
 from kuronuri.functions.spans import CANDIDATE, candidate, resolve_first
 from kuronuri.operators.dictionary import DictMatcher
@@ -29,10 +30,15 @@ FULL_FLAGS = "ims"  # the full tier matches dot-all, multi-line, ignoring case
 SUFFIX = vocab.PATTERNS["det_company_suffix"]
 
 
+def _regex(pattern: Pattern, flags: str = "") -> str:
+    rx = java_regex(pattern.regex, flags)
+    return rx if pattern in DEFAULT_PATTERNS else whole_characters(rx)
+
+
 def _matches(text: Column, pattern: Pattern) -> Column:
     if pattern == SUFFIX:
         return suffix_spans(text)
-    return match_spans(text, java_regex(pattern.regex), pattern.needs, hint=pattern.hint)
+    return match_spans(text, _regex(pattern), pattern.needs, hint=pattern.hint)
 
 
 def _suffix_candidates(text: Column, p: Pattern, ord: int) -> Column:
@@ -56,7 +62,7 @@ def pattern_spans(text: Column, patterns: Sequence[Pattern], flags: str = "") ->
         if p == SUFFIX:  # no letters and no dots: flags change nothing
             extra.append(_suffix_candidates(text, p, i))
             continue
-        rx = java_regex(p.regex, flags)
+        rx = _regex(p, flags)
         part = F.struct(
             *matches_and_gaps(text, rx), F.lit(p.entity).alias("entity"),
             F.lit(p.score).alias("score"), F.lit(p.name).alias("pattern"), F.lit(i).alias("ord"),

@@ -16,6 +16,8 @@ def _decode_legacy(raw: pd.Series) -> pd.Series:
     def one(b):
         if b is None:
             return None
+        if bytes(b[:2]) in (b"\xff\xfe", b"\xfe\xff"):
+            return bytes(b).decode("utf-16", errors="replace")
         for enc in LEGACY:
             try:
                 return bytes(b).decode(enc)
@@ -27,13 +29,14 @@ def _decode_legacy(raw: pd.Series) -> pd.Series:
 
 
 def decode_auto(raw: Column) -> Column:
-    """Text of a byte column: UTF-8, else a legacy charset, else UTF-8 with repairs.
+    """Text of a byte column: UTF-8, else UTF-16 by its mark, else a legacy charset,
+    else UTF-8 with repairs.  A byte order mark is not part of the text.
 
     Valid UTF-8 is decoded in the JVM; Python only sees the other rows.
     """
     bytes_as_text = raw.cast("string")
     valid = F.is_valid_utf8(bytes_as_text)
-    return F.when(valid, bytes_as_text).otherwise(
+    return F.when(valid, F.regexp_replace(bytes_as_text, "^\ufeff", "")).otherwise(
         F.coalesce(_decode_legacy(F.when(~valid, raw)), F.make_valid_utf8(bytes_as_text))
     )
 
