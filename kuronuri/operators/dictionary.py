@@ -68,10 +68,6 @@ def keyword_matcher(terms: Sequence[str]) -> DictMatcher:
     return DictMatcher("KEYWORD", tuple(terms), vocab.DICT_KEYWORD_SCORE, bounded=False)
 
 
-def _fold(s: str) -> str:
-    return "".join(c if len(c.lower()) != 1 else c.lower() for c in s)
-
-
 def _scanner(ordered: tuple[str, ...], bounded: bool, ignore_case: bool):
     """Array-of-texts scan with one automaton per Python worker.
 
@@ -82,7 +78,12 @@ def _scanner(ordered: tuple[str, ...], bounded: bool, ignore_case: bool):
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        fold = _fold if ignore_case else (lambda s: s)
+        def fold(s: str) -> str:
+            # Lower case, but only where it keeps the length, so offsets stay true.
+            if not ignore_case:
+                return s
+            return "".join(c if len(c.lower()) != 1 else c.lower() for c in s)
+
         auto = ahocorasick.Automaton()
         for t in ordered:
             auto.add_word(fold(t), len(t))

@@ -311,7 +311,7 @@ def _dict_sql(select: str, col: str, bounded: bool) -> str:
     return (
         f"with corpus as materialized ({DICT_SQL}) select doc_id, cast(s as integer) as start,"
         f" cast(e as integer) as \"end\", m as original from ({spans})"
-        f" where lower(m) in (select lower({col}) from {select})"
+        f" where lower(m) in (select lower(t) from (select distinct {col} as t from {select} order by t limit {vocab.DICT_LIMIT}))"
     )
 
 
@@ -395,20 +395,21 @@ def keep_normalize(spark, sf_dir):
     return normalize_keep(raw_spans(spark, sf_dir))
 
 
+ALLOWED = "concat(p_name, case when p_size > 25 then '' else '!' end)"
 ALLOW_TERM = case("p_partkey", ("p_name", "concat(' ', replace(p_name, ' ', '　'), ' ')", "replace(p_name, ' ', '  ')", "''", "concat(p_name, 'x')"))
 
 
 @query(
     "allow_match",
-    f"select p_partkey, t <> '' and exists (select 1 from part q where q.p_size > 25 and {o.norm('q.p_name')} = t) as allowed"
+    f"select p_partkey, t <> '' and t in (select {o.norm(ALLOWED)} from part) as allowed"
     f" from (select p_partkey, {o.norm(ALLOW_TERM)} as t from part)",
 )
 def allow_match(spark, sf_dir):
     """Terms against an allow table by normal form: a join, for lists of any size."""
     p = part(spark, sf_dir)
     allow = (
-        p.where("p_size > 25").select("p_name").distinct()
-        .select(tx.norm_term(F.col("p_name")).alias("t")).distinct().withColumn("ok", F.lit(True))
+        p.select(F.expr(ALLOWED).alias("a")).distinct()
+        .select(tx.norm_term(F.col("a")).alias("t")).distinct().withColumn("ok", F.lit(True))
     )
     terms = p.select("p_partkey", tx.norm_term(F.expr(ALLOW_TERM)).alias("t"))
     return terms.join(allow, "t", "left").select(

@@ -85,7 +85,7 @@ def resolve_islands_(spark, sf_dir):
     return _kept(resolve_islands(candidates(spark, sf_dir), width=64))
 
 
-KEEP_SQL = "select o_custkey as doc_id, cast((o_orderkey * 91) % 400 as int) as s, cast((o_orderkey * 91) % 400 + o_orderkey % 5 as int) as e from orders where o_orderstatus = 'F'"
+KEEP_SQL = "select o_custkey as doc_id, cast((o_orderkey * 91) % 400 as int) as s, cast((o_orderkey * 91) % 400 + o_orderkey % 5 as int) as e from orders"
 
 
 @query(
@@ -94,7 +94,7 @@ KEEP_SQL = "select o_custkey as doc_id, cast((o_orderkey * 91) % 400 as int) as
     " where k.s < k.e and k.doc_id = a.doc_id and a.start < k.e and a.stop > k.s)",
 )
 def join_keep_anti(spark, sf_dir):
-    keep = fx.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr(
+    keep = fx.table(spark, sf_dir, "orders").selectExpr(
         "o_custkey as doc_id", "cast((o_orderkey * 91) % 400 as int) as start",
         "cast((o_orderkey * 91) % 400 + o_orderkey % 5 as int) as end",
     )
@@ -256,11 +256,11 @@ def join_action_span(spark, sf_dir):
     return joined(spark, sf_dir).select("doc_id", "seq", "span_id", "op", "original")
 
 
-_HAVE = "(select concat('T', p_partkey) as term from part where p_partkey < 7)"
+_HAVE = "(select distinct concat('T', p_size * 3) as term from part)"
 
 
 def have_terms(spark, sf_dir):
-    return fx.table(spark, sf_dir, "part").where("p_partkey < 7").selectExpr("concat('T', p_partkey) as term")
+    return fx.table(spark, sf_dir, "part").selectExpr("concat('T', p_size * 3) as term").distinct()
 
 
 @query("apply_always_keep", f"select term from {_HAVE} union select original from {_RAW_JOINED} where op = 'ALWAYS_KEEP'")
@@ -385,7 +385,7 @@ def forced_company_expand(spark, sf_dir):
 @query(
     "forced_dedupe",
     f"with d as (select doc_id, entity, start, stop, span_id, enabled, forced from {_DETS}),"
-    " m as (select distinct doc_id, upper(entity) as entity, start, stop from d where start % 2 = 0)"
+    " m as (select distinct doc_id, upper(entity) as entity, start + start % 2 as start, stop + start % 2 as stop from d)"
     " select d.doc_id, d.span_id, enabled or (forced and m.doc_id is not null) as enabled from d left join m"
     " on m.doc_id = d.doc_id and m.entity = upper(d.entity) and m.start = d.start and m.stop = d.stop"
     " union all select doc_id, concat('manual_', start, '_', stop), true from m where not exists (select 1 from d"
@@ -394,8 +394,10 @@ def forced_company_expand(spark, sf_dir):
 def forced_dedupe(spark, sf_dir):
     """Manual spans that repeat known ones: forced ones are enabled, others are added."""
     d = dets(spark, sf_dir)
-    again = d.where("start % 2 = 0").select(
-        "doc_id", F.col("entity_type").alias("entity"), "start", "end", F.lit("").alias("text")
+    odd = F.col("start") % 2
+    again = d.select(
+        "doc_id", F.col("entity_type").alias("entity"), (F.col("start") + odd).alias("start"),
+        (F.col("end") + odd).alias("end"), F.lit("").alias("text"),
     )
     return review.add_manual(d, again).select("doc_id", "span_id", "enabled")
 
@@ -407,7 +409,7 @@ _SEG_SQL = """segs as materialized (select conv_id as doc_id, turn as seg_no, ca
 corpus as materialized (select conv_id as doc_id, string_agg(concat(text, chr(10)), '' order by turn) as text from conversations group by conv_id)"""
 _STOP_RX = rf"[{o.WORD}]+\.{o.S}[{o.WORD}]+"
 STOP = r"\w+\.\s\w+"
-_HITS_SQL = f"""hits as materialized (select doc_id, i as hit_no, s as start, s + length(m) as stop, m as original,
+_HITS_SQL = f"""hits as materialized (select doc_id, cast(i as integer) as hit_no, s as start, s + length(m) as stop, m as original,
  case when i % 7 = 0 then 'keep:allowlist' else 'mask:stable_id' end as reason, case when i % 2 = 0 then '■■■' else concat('[X', i, ']') end as replacement from ({o.matches('corpus', _STOP_RX)}))"""
 _PAIR_SQL = """pairs as (select h.doc_id, hit_no, seg_no, greatest(start, g_start) - g_start as local_start, least(stop, g_start + length(text)) - g_start as local_end,
  not (start >= g_start and stop <= g_start + length(text)) as overlap, replacement, reason from hits h join segs s on s.doc_id = h.doc_id and g_start < stop and g_start + length(text) > start)"""
@@ -489,9 +491,9 @@ def splice_segment(spark, sf_dir):
 # --- positioned characters: two runs per turn, three turns per page ---------------------------
 
 _HALF = "length(text) // 2"
-_RUN_SQL = f"""runs as materialized (select doc_id, run_no, page, line, text, x0, x0 + 10.0 * length(text) as x1, 12.0 * line + 1.5 * half as y0, 12.0 * line + 1.5 * half + 10 as y1,
+_RUN_SQL = f"""runs as materialized (select doc_id, run_no, page, line, text, x0, x0 + 10.0 * length(text) as x1, cast(12.0 * line + 1.5 * half as double) as y0, cast(12.0 * line + 1.5 * half + 10 as double) as y1,
  length(text) + case when half = 1 then 1 else 0 end + case when half = 1 and line = max(line) over (partition by doc_id, page) then 1 else 0 end as n
- from (select conv_id as doc_id, turn * 2 + h as run_no, turn // 3 as page, turn as line, h as half,
+ from (select conv_id as doc_id, turn * 2 + h as run_no, cast(turn // 3 as integer) as page, turn as line, h as half,
   case h when 0 then substr(text, 1, {_HALF}) else substr(text, {_HALF} + 1) end as text, 5.0 + h as x0 from conversations, (values (0), (1)) v(h))),
 placed as (select *, cast(coalesce(sum(n) over (partition by doc_id order by run_no rows between unbounded preceding and 1 preceding), 0) as bigint) as base from runs),
 chars as materialized (select doc_id, page, line, base + i - 1 as pos, x0 + (i - 1) * ((x1 - x0) / greatest(length(text), 1)) as x0, x0 + i * ((x1 - x0) / greatest(length(text), 1)) as x1, y0, y1, ch
