@@ -23,7 +23,8 @@ def running(df: DataFrame, group: Sequence[str], order: str, value: Column, name
     """Add ``name``: sum or max of ``value`` over the rows of the group before this one.
 
     ``order`` is a whole number; rows that share it are ordered by ``ties``.  A
-    sum over no rows is 0, a max over no rows is null.  ``df`` is read twice.
+    sum over no rows is 0, a max over no rows is null.  Group columns must not be
+    null.  ``df`` is read twice.
     """
     fn = {"sum": F.sum, "max": F.max}[how]
     group, cols = list(group), df.columns
@@ -39,9 +40,10 @@ def running(df: DataFrame, group: Sequence[str], order: str, value: Column, name
         .select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(group)],
                 F.col("__b").alias("__kb"), "__base")
     )
-    cond = F.col("__b").eqNullSafe(F.col("__kb"))
+    # Plain equality, so that the join takes over the window's partitioning.
+    cond = F.col("__b") == F.col("__kb")
     for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"__k{i}"))
+        cond = (F.col(g) == F.col(f"__k{i}")) & cond
     local = fn("__v").over(inner)
     if how == "sum":
         total = F.coalesce("__local", F.lit(0)) + F.coalesce("__base", F.lit(0))

@@ -518,7 +518,7 @@ def run_table(spark, sf_dir):
 
 def _layout(spark, sf_dir):
     chars = layout.char_positions(run_table(spark, sf_dir), width=8)
-    hits = _stops(layout.chars_text(chars))
+    hits = _stops(layout.runs_text(run_table(spark, sf_dir), width=8))
     return chars, hits, layout.hit_chars(hits, chars)
 
 
