@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kuronuri import vocab
 from kuronuri.functions import text as tx
-from kuronuri.functions.spans import company_expand_end, overlap
+from kuronuri.functions.spans import company_expand_end, overlap, priority
 from kuronuri.operators.dictionary import company_matcher, detect_terms, keyword_matcher
 from kuronuri.operators.layout import doc_warnings
 from kuronuri.operators.overrides import normalize_forced, normalize_keep
 from kuronuri.plans import fixtures as fx
 from kuronuri.plans import oracle as o
 from kuronuri.plans.catalog import query
-from kuronuri.policy import Policy
+from kuronuri.policy import Policy, load_policy
 from kuronuri.sources.terms import capped_terms, parse_lines
 from kuronuri.sources.texts import decode_auto
 
@@ -282,14 +284,32 @@ def src_dict_terms(spark, sf_dir):
     return row_number_in(by, ["entity"], "neg", "place", ties=["ord"]).select("term", "place")
 
 
-@query("src_policy")
+_POLICY = """entities: [{name: EMAIL, priority: 100}, {name: DATE}, {name: ID, priority: 7}]
+global: {allowlist: {terms: [甲, 乙]}}
+review: {threshold: 0.5}
+performance: {nlp_chunk_size: 100}
+"""
+
+
+@query(
+    "src_policy",
+    "select n_nationkey, case n_nationkey % 3 when 0 then 100 when 1 then 0 else 7 end as priority,"
+    " n_nationkey / 10.0 < 0.5 as in_review, concat('甲', case when n_nationkey >= 100 then 'x' else '乙' end) as terms,"
+    " concat(400000, '/', 100, '/', 300, '/', 'LABEL') as others from nation",
+)
 def src_policy(spark, sf_dir):
-    """The default policy's priorities against the nations' numbers (rows only)."""
-    p = Policy.from_dict({"entities": [{"name": k, "priority": v} for k, v in vocab.PRIORITIES.items()]})
-    rank = F.create_map(*[F.lit(x) for kv in p.priorities.items() for x in kv])
-    entity = F.get(F.map_keys(rank), (F.col("n_nationkey") % 10).cast("int"))
+    """A policy file with some sections: its values and the defaults, as literals over the nations."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml", encoding="utf-8") as f:
+        f.write(_POLICY)
+        f.flush()
+        p = load_policy(f.name)
+    names = F.array(*[F.lit(n) for n in p.priorities])
+    entity = F.get(names, (F.col("n_nationkey") % 3).cast("int"))
     return fx.table(spark, sf_dir, "nation").select(
-        "n_nationkey", entity.alias("entity"), rank[entity].alias("priority")
+        "n_nationkey", priority(entity, p.priorities).alias("priority"),
+        (F.col("n_nationkey") / 10 < p.review_threshold).alias("in_review"),
+        F.lit("".join(p.allow_terms)).alias("terms"),
+        F.lit(f"{p.fast_threshold_chars}/{p.chunk_size}/{p.chunk_overlap}/{p.mode}").alias("others"),
     )
 
 

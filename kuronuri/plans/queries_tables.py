@@ -613,10 +613,30 @@ def agg_summary(spark, sf_dir):
     return report.summary(_fast(spark, sf_dir)).select("doc_id", "total_hits", "review_hits")
 
 
-@query("agg_report")
+_NAMES = "(select string_agg(name, '|') from {0}_names n where n.doc_id = t.doc_id)"
+
+
+@query(
+    "agg_report",
+    _chain(
+        f"select t.doc_id, coalesce({_NAMES.format('self')}, '') as self_names, coalesce({_NAMES.format('counter')}, '') as counter_names,"
+        f" cast(count(h.s) as integer) as total_hits, cast(count(h.s) filter (where {o.REVIEW}) as integer) as review_hits, cast(0.8 as double) as review_threshold,"
+        " coalesce((select string_agg(concat(entity, '=', n), '|' order by entity) from (select doc_id, entity, count(*) as n from hits group by all) e where e.doc_id = t.doc_id), '') as by_entity"
+        " from corpus t left join hits h on h.doc_id = t.doc_id group by t.doc_id"
+    ),
+)
 def agg_report(spark, sf_dir):
-    """The nested report of every document (rows only)."""
-    return report.runtime_report(_fast(spark, sf_dir), FAST)
+    """The nested report of every document, its parts laid out as columns."""
+    r = report.runtime_report(_fast(spark, sf_dir), FAST)
+    counts = F.transform(
+        F.array_sort(F.map_entries("summary.by_entity")), lambda e: F.concat_ws("=", e.key, e.value)
+    )
+    return r.select(
+        "doc_id", F.array_join("party_auto.self_names", "|").alias("self_names"),
+        F.array_join("party_auto.counter_names", "|").alias("counter_names"),
+        F.size("hits").alias("total_hits"), F.size("review").alias("review_hits"),
+        "review_threshold", F.array_join(counts, "|").alias("by_entity"),
+    )
 
 
 @query("sink_masked", _chain("select doc_id, masked from spliced"))
@@ -629,11 +649,24 @@ def sink_hits_csv(spark, sf_dir):
     return sinks.csv_rows(_fast(spark, sf_dir))
 
 
-@query("sink_payload_json")
+@query(
+    "sink_payload_json",
+    _chain(
+        "select t.doc_id, cast((select count(*) from hits h where h.doc_id = t.doc_id) as integer) as n_spans, coalesce(items, '') as items from corpus t left join"
+        " (select doc_id, string_agg(concat('rev_', lpad(cast(j as varchar), 6, '0'), ':m', lpad(cast(n as varchar), 6, '0'), ':', preview), '|' order by j) as items from"
+        f" (select *, row_number() over (partition by doc_id order by s) as j from (select h.*, row_number() over (partition by h.doc_id order by s) as n,"
+        " replace(substr(text, greatest(s - 24, 0) + 1, e + 24 - greatest(s - 24, 0)), chr(10), ' ') as preview from hits h join corpus c on c.doc_id = h.doc_id)"
+        f" where {o.REVIEW}) group by doc_id) r on r.doc_id = t.doc_id"
+    ),
+)
 def sink_payload_json(spark, sf_dir):
-    """The payload of every document as one JSON text (rows only)."""
+    """The payload of every document as JSON: span count, and review items with their context."""
     p = report.payload(_fast(spark, sf_dir), FAST)
-    return p.select("doc_id", F.to_json(F.struct("*")).alias("json"))
+    back = p.select(F.from_json(F.to_json(F.struct("*")), PAYLOAD_SCHEMA).alias("p"))
+    items = F.transform("p.review_items", lambda r: F.concat_ws(":", r.id, r.mark_id, r.context_preview))
+    return back.select(
+        "p.doc_id", F.size("p.spans").alias("n_spans"), F.array_join(items, "|").alias("items")
+    )
 
 
 @query("src_payload", _chain('select doc_id, concat(\'span_\', lpad(cast(row_number() over (partition by doc_id order by s) as varchar), 6, \'0\')) as span_id, entity as entity_type, cast(s as integer) as start, cast(e as integer) as "end", repl as replacement from hits'))
