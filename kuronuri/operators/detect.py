@@ -119,7 +119,34 @@ def dedupe_contained(cands: Column) -> Column:
             & (rank(d) < rank(c)),
         )
 
-    return let(cands, lambda all_: F.filter(all_, lambda c: ~inside_other(all_, c)))
+    # Sorted by entity and start, a span can only lie in another one if it ends at
+    # or before the farthest end so far.  Few do, so few are compared with all.
+    def step(st, x):
+        same = st.entity.eqNullSafe(x.entity)
+        state = F.struct(
+            x.entity.alias("entity"),
+            F.when(same, F.greatest(st.reach, x.c.end)).otherwise(x.c.end).alias("reach"),
+        )
+        return state, F.lit(True), F.struct(
+            x.c.alias("c"), (same & (x.c.end <= st.reach)).alias("suspect")
+        )
+
+    def outermost(all_: Column) -> Column:
+        by_start = F.array_sort(
+            F.transform(
+                all_,
+                lambda c: F.struct(
+                    c.entity.alias("entity"), c.start.alias("start"),
+                    (c.start - c.end).alias("len"), rank(c).alias("rank"), c.alias("c"),
+                ),
+            )
+        )
+        start = F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).alias("reach"))
+        marked = fold_emit(by_start, start, step, f"struct<c:{CANDIDATE},suspect:boolean>")
+        kept = F.filter(marked, lambda m: ~m.suspect | ~inside_other(all_, m.c))
+        return F.transform(kept, lambda m: m.c)
+
+    return let(cands, outermost)
 
 
 def full_candidates(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,

@@ -132,6 +132,32 @@ def test_huge_document_is_folded_whole(spark):
     assert labels[:2] == ["[PERSON_01]", "[PERSON_02]"] and len(set(labels)) >= 500
 
 
+def test_contained_spans(spark):
+    import random
+
+    from kuronuri.functions.spans import candidate
+    from kuronuri.operators.detect import dedupe_contained
+
+    rnd = random.Random(8)
+    rows = []
+    for d in range(60):
+        cs = []
+        for i in range(rnd.randint(0, 20)):
+            s = rnd.randint(0, 20)
+            cs.append((s, s + rnd.randint(1, 8), rnd.choice("AB"), rnd.choice([0.5, 0.7, 0.9]), i))
+        rows.append((d, cs))
+    df = spark.createDataFrame(
+        rows, "doc_id int, cs array<struct<s:int,e:int,entity:string,score:double,ord:int>>"
+    )
+    cands = F.transform("cs", lambda c: candidate(c.s, c.e, c.entity, c.score, ord=c.ord))
+    for r in df.select("cs", dedupe_contained(cands).alias("out")).collect():
+        kept = []
+        for c in sorted(r.cs, key=lambda c: (-c.score, c.s, c.s - c.e, c.ord)):
+            if not any(k.entity == c.entity and k.s <= c.s and k.e >= c.e for k in kept):
+                kept.append(c)
+        assert sorted(o.ord for o in r.out) == sorted(k.ord for k in kept)
+
+
 def test_policy_file(spark, tmp_path):
     pytest.importorskip("yaml")
     path = tmp_path / "policy.yaml"
