@@ -13,8 +13,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "op2_query", "op3_query",
-    "op8_query",
+    "op2_query", "op3_query", "op4_query",
+    "op8_query", "op9_query",
 )
 
 
