@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "op2_query", "op3_query", "op4_query", "op7_query",
-    "op8_query", "op9_query",
+    "op8_query", "op9_query", "op10_query",
 )
 
 
