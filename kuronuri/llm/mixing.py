@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kuronuri.llm.tables import WORD, docs_of
+from kuronuri.llm.tables import WORD, docs_of, stored, words
 from kuronuri.operators.ordinals import row_number_in, running
 
 #: Slices of a source by the documents' random number; only the slice in which the target falls is
@@ -21,9 +21,10 @@ SLICES = 1 << 12
 
 
 def sizes(docs: DataFrame, source: str = "source") -> DataFrame:
-    """``doc_id, source, size``: words of every whole text."""
+    """``doc_id, source, text_hash, size``: words of every whole text."""
     return docs_of(docs, F.col(source).alias("source")).select(
-        "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
+        "doc_id", "source", F.xxhash64("text").alias("text_hash"),
+        F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"),
     )
 
 
@@ -71,33 +72,32 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float,
     bases = per_bucket.select(
         "bucket", F.coalesce(F.sum("cap_sum").over(before), F.lit(0.0)).alias("cap_base"),
         F.coalesce(F.sum("weight_sum").over(before), F.lit(0.0)).alias("weight_base"))
-    whole = weighed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    total, weight_total = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
     filled = (
         ordered.withColumns({
             "cap_in": F.coalesce(F.sum("cap").over(inside), F.lit(0.0)),
             "weight_in": F.coalesce(F.sum("weight").over(inside), F.lit(0.0)),
         }).join(bases, "bucket")
-        .withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one")
         # The level if just the sources below this one are clamped.
-        .withColumn("rise", (F.col("total") * share - F.col("cap_base") - F.col("cap_in"))
-                    / (F.col("weights") - F.col("weight_base") - F.col("weight_in")))
+        .withColumn("rise", (F.lit((total or 0) * share) - F.col("cap_base") - F.col("cap_in"))
+                    / (F.lit(weight_total) - F.col("weight_base") - F.col("weight_in")))
     )
     # The first source that stays under its cap fixes the level (of equals, the one that rises
     # highest); none does if all caps together are too low.
-    level = filled.where(F.col("rise") < F.col("level")).agg(
-        F.min_by("rise", F.struct(F.col("level"), -F.col("rise"))).alias("water"))
-    return filled.select("source", "source_size", "weight", "cap", "one").join(
-        level.withColumn("one", F.lit(1)), "one"
-    ).select(
+    water = filled.where(F.col("rise") < F.col("level")).agg(
+        F.min_by("rise", F.struct(F.col("level"), -F.col("rise")))).first()[0]
+    return weighed.select(
         "source", "source_size",
-        F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
+        (F.col("cap") if water is None else F.least(F.col("cap"), F.lit(water) * F.col("weight")))
         .alias("target"),
     )
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5,
                 max_epochs: float = 2.0, seed: int = 17, source: str = "source") -> DataFrame:
-    """``doc_id, source, size, source_size, target, repeats, part``: how often each document is taken.
+    """How often each document is taken: ``repeats`` times whole and then its first ``part`` words.
+
+    Returns ``doc_id, source, text_hash, size, source_size, target, repeats, part``.
 
     A source with target ``t`` and size ``s`` takes each document ``floor(t / s)`` times whole
     (``repeats``) and once more those that come first in a seeded order, until the rest is used up;
@@ -107,8 +107,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     source is a source; null text has size 0 and is taken 0 times in part.  Empty input gives no
     rows.
     """
-    sized = sizes(docs, source).withColumn("draw", _draw(seed)).withColumn(
-        "slice", F.shiftright("draw", 20))
+    # The texts are read once; what follows works on this narrow table.
+    sized = stored(sizes(docs, source).withColumn("draw", _draw(seed)).withColumn(
+        "slice", F.shiftright("draw", 20)), "sizes")
     goals = targets(sized, weights, share, max_epochs)
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) + 1e-12)
     goals = goals.withColumn("whole", whole.cast("long")).withColumn(
@@ -130,7 +131,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     edge = (F.col("room") > 0) & (F.col("room") < F.col("slice_size"))
     by_draw = W.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(
         W.unboundedPreceding, -1)
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target", "whole"]
     inner = rows.where(edge).withColumn(
         "left", F.col("room") - F.coalesce(F.sum("size").over(by_draw), F.lit(0))
     ).select(*columns, F.least(F.greatest("left", F.lit(0)), "size").alias("more"))
@@ -138,7 +139,33 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
         *columns, F.when(F.col("room") > 0, F.col("size")).otherwise(0).alias("more"))
     taken_whole = (F.col("more") == F.col("size")) & (F.col("size") > 0)
     return inner.unionByName(outer).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "text_hash", "size", "source_size", "target",
         (F.col("whole") + taken_whole.cast("long")).alias("repeats"),
         F.when(taken_whole, 0).otherwise(F.col("more")).cast("long").alias("part"),
     )
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0),
+                    share: float = 1.5, max_epochs: float = 2.0, seed: int = 17,
+                    source: str = "source") -> DataFrame:
+    """The mix itself: all columns of ``docs``, a row per repetition of a document.
+
+    A document taken in part has its first words, with a blank between.  Rows of one ``doc_id``
+    and text count together, so that rows that repeat stay as many as the mix takes of them.
+    """
+    plan = mix_sources(docs, weights, share, max_epochs, seed, source).groupBy(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+        F.col("text_hash").alias("__hash")
+    ).agg(F.sum("repeats").alias("__repeats"), F.collect_list(
+        F.when(F.col("part") > 0, F.col("part"))).alias("__parts"))
+    rows = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = rows.dropDuplicates(["doc_id", source, "__text_hash"])
+    taken = one.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))
+                     & F.col(source).eqNullSafe(F.col("__source"))
+                     & (F.col("__text_hash") == F.col("__hash")))
+    whole = F.array_repeat(F.lit(None).cast("long"), F.col("__repeats").cast("int"))
+    copies = taken.withColumn("__part", F.explode(F.concat(whole, F.col("__parts"))))
+    return copies.withColumn(
+        "text", F.when(F.col("__part").isNull(), F.col("text")).otherwise(
+            F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__part").cast("int")), " "))
+    ).select(*docs.columns)
