@@ -371,6 +371,13 @@ def set_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     return out
 
 
+def _roots(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """``doc_id, key, n, root`` for every row: ``root`` names the component of the set."""
+    roots = stored(components(set_links(docs, described)), "roots")
+    return described.select("doc_id", "key", "n").join(roots, "key", "left").withColumn(
+        "root", F.coalesce("root", "key"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -382,13 +389,45 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     by hashes of 64 bits.
     """
     described = stored(describe_sets(docs), "sets-described")
-    links = set_links(docs, described)
-    roots = stored(components(links), "roots")
-    named = described.select("doc_id", "key", "n").join(roots, "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
+    named = _roots(docs, described)
     least = named.where(F.col("root").isNotNull()).groupBy("root").agg(
         F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, one row of every component of :func:`similar_documents`.
+
+    The row with the least ``doc_id`` stays, a null one only where there is no other; of rows that
+    share it, one.  Documents without words have no links and all stay.
+    """
+    named = _roots(docs, stored(describe_sets(docs), "sets-described"))
+    stay = named.where(F.col("root").isNotNull()).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("m")
+    ).select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__of"))
+    names, types = docs.columns, [f"`{c}` {t}" for c, t in docs.dtypes]
+    at = names.index("text")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            for start, end in pieces(texts):
+                owner, h = shingle_sets(texts[start:end])
+                size = np.bincount(owner, minlength=end - start)
+                full = np.flatnonzero(size)
+                keys = np.zeros(end - start, np.int64)
+                if len(full):
+                    keys[full] = _set_key(h, (np.cumsum(size) - size)[full], size[full])
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(keys, pa.int64(), mask=size == 0)],
+                    [*names, "__key"])
+
+    rows = docs.mapInArrow(keyed, ", ".join([*types, "__key long"]))
+    kept = rows.where(F.col("__key").isNotNull()).join(
+        stay, (F.col("__key") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")),
+        "left_semi").dropDuplicates(["__key", "doc_id"])
+    return kept.union(rows.where(F.col("__key").isNull())).select(*names)

@@ -178,7 +178,7 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS,
 
 
 def mask_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS,
-             min_score: float = MIN_SCORE, *keep: str) -> DataFrame:
+             min_score: float = MIN_SCORE, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, hits`` and the ``keep`` columns; every hit in the text gives way to its label.
 
     A hit inside an earlier one has no label of its own; of two that overlap, the second label
