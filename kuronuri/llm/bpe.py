@@ -29,7 +29,7 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NOT_SPACE = regex.compile(f"[^{_SPACE}]+")
 #: Entries of each cache of a worker, and the longest text it keeps.
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 250_000, 48
 #: Output rows go out in pieces of about so many ids.
 PIECE = 2_000_000
 
