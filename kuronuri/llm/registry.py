@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "op2_query", "op3_query", "op4_query", "op5_query", "op7_query",
+    "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query",
     "op8_query", "op9_query", "op10_query", "pipeline_query",
 )
 
