@@ -173,14 +173,15 @@ def finish_full(cands: Column, allow: Column, priorities) -> Column:
 
 
 def tier(length: Column, policy: Policy) -> Column:
-    """``fast`` for huge texts, ``chunked`` for long ones, else ``full``."""
+    """``full``, unless the policy asks for ``chunked`` or ``fast`` from some length on."""
     if policy.force_fast:
         return F.lit("fast")
-    return (
-        F.when(length >= policy.fast_threshold_chars, "fast")
-        .when(length >= policy.chunk_size, "chunked")
-        .otherwise("full")
-    )
+    out = F
+    if policy.fast_threshold_chars > 0:
+        out = out.when(length >= policy.fast_threshold_chars, "fast")
+    if policy.chunk_size > 0:
+        out = out.when(length >= policy.chunk_size, "chunked")
+    return F.lit("full") if out is F else out.otherwise("full")
 
 
 CHUNK = "struct<off:int,len:int>"
@@ -195,6 +196,8 @@ def chunk_bounds(text: Column, size: int, overlap: int) -> Column:
     the last full chunk.
     """
     length = F.length(text)
+    if size <= 0:
+        return F.array(F.struct(F.lit(0).alias("off"), length.alias("len")))
     advance = max(size // 2 + 1 - overlap, 1)
     bound = F.floor(length / advance).cast("int") + 2
 
@@ -232,9 +235,9 @@ def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatc
                     allow: str = "allow") -> DataFrame:
     """Add ``tier`` and ``candidates``; reads ``text`` and the allow-list column.
 
-    The full tier is the chunked tier with one chunk.  Everything stays in the
-    row of the document: texts of these tiers are short, and huge texts take the
-    fast tier, which is linear in their length.
+    The full tier is the chunked tier with one chunk, and the only one unless the policy
+    sets limits: what is found does not depend on how long a text is.  Everything stays in the
+    row of the document.
     """
     text = F.col("text")
     docs = docs.withColumn("tier", tier(F.length(text), policy))
@@ -268,9 +271,9 @@ def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatc
         return shift(finish_full(found, F.col(allow), policy.priorities), c.off)
 
     merged = resolve_first(F.flatten(F.transform("chunks", one_chunk)), policy.priorities)
-    return docs.withColumn(
-        "candidates", F.when(F.col("tier") == "fast", fast).otherwise(merged)
-    ).drop("chunks", *scans)
+    if policy.fast_threshold_chars > 0:
+        merged = F.when(F.col("tier") == "fast", fast).otherwise(merged)
+    return docs.withColumn("candidates", merged).drop("chunks", *scans)
 
 
 def detect(docs: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -11,17 +12,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.regex import java_regex, match_spans
 from kuronuri.functions.spans import candidate
 
-# Up to here a list is one literal alternation in the JVM.  Above, a regex would
-# try every term at every position, so one automaton reads each text once.
-LITERAL_TERMS = 64
+
+def fold_case(s: str) -> str:
+    """One case for all letters that are equal without case, letter by letter.
+
+    The upper-case form, lowered: long s is s, the Kelvin sign is k, both foreign i are i.  Letters
+    whose upper case is longer stay as they are, so offsets stay true.
+    """
+    return s.lower() if s.isascii() else "".join(map(_fold, s))
+
+
+@functools.cache
+def _fold(c: str) -> str:
+    up = c.upper()
+    return (up if len(up) == 1 else c).lower()[0]
 
 
 @dataclass(frozen=True)
 class DictMatcher:
-    """Terms of one entity; at most ``vocab.DICT_LIMIT`` of them are used."""
+    """Terms of one entity."""
 
     entity: str
     terms: tuple[str, ...]
@@ -31,15 +42,11 @@ class DictMatcher:
 
     @property
     def ordered(self) -> tuple[str, ...]:
-        return tuple(sorted(self.terms[: vocab.DICT_LIMIT], key=len, reverse=True))
+        return tuple(sorted(self.terms, key=len, reverse=True))
 
     def spans(self, texts: Column, ord: int = 0) -> Column:
         """For an array of texts, an array of candidate arrays."""
-        if len(self.terms) <= LITERAL_TERMS:
-            rx = self._regex()
-            found = F.transform(texts, lambda t: match_spans(t, rx, self._needs()))
-        else:
-            found = _scanner(self.ordered, self.bounded, self.ignore_case)(texts)
+        found = _scanner(self.ordered, self.bounded, self.ignore_case)(texts)
         return F.transform(
             found,
             lambda ms: F.transform(
@@ -49,16 +56,6 @@ class DictMatcher:
             ),
         )
 
-    def _regex(self) -> str:
-        alts = "|".join(re.escape(t) for t in self.ordered)
-        core = rf"(?<!\w)({alts})(?!\w)" if self.bounded else f"({alts})"
-        return java_regex(core, "imsu" if self.ignore_case else "")
-
-    def _needs(self):
-        if self.ignore_case and any(t.lower() != t.upper() for t in self.terms):
-            return ()
-        return (self.ordered,)
-
 
 def company_matcher(terms: Sequence[str]) -> DictMatcher:
     return DictMatcher("COMPANY", tuple(terms), vocab.DICT_COMPANY_SCORE, bounded=True)
@@ -71,19 +68,14 @@ def keyword_matcher(terms: Sequence[str]) -> DictMatcher:
 def _scanner(ordered: tuple[str, ...], bounded: bool, ignore_case: bool):
     """Array-of-texts scan with one automaton per Python worker.
 
-    The term list travels with the task and is bounded by ``vocab.DICT_LIMIT``.
+    The term list travels with the task.
     """
 
     @F.pandas_udf("array<array<struct<s:int,e:int,m:string>>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        def fold(s: str) -> str:
-            # Lower case, but only where it keeps the length, so offsets stay true.
-            if not ignore_case:
-                return s
-            return "".join(c if len(c.lower()) != 1 else c.lower() for c in s)
-
+        fold = fold_case if ignore_case else str
         auto = ahocorasick.Automaton()
         for t in ordered:
             auto.add_word(fold(t), len(t))
@@ -129,8 +121,7 @@ def detect_terms(docs: DataFrame, matcher: DictMatcher) -> DataFrame:
 def detect_term_table(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Dictionary matches for a table ``terms(entity, term, score, bounded)``.
 
-    The table is read to the driver, at most ``vocab.DICT_LIMIT`` terms per kind:
-    that cap is part of what a term list means, and bounds what tasks receive.
+    All terms count.  The table is read to the driver and travels with the tasks.
     """
     out = None
     for m in matchers_from_table(terms):
@@ -142,10 +133,8 @@ def detect_term_table(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def matchers_from_table(terms: DataFrame) -> list[DictMatcher]:
-    from kuronuri.sources.terms import capped_terms
-
     kinds: dict[tuple, list[str]] = {}
-    for r in capped_terms(terms).select("entity", "score", "bounded", "term").toLocalIterator():
+    for r in terms.orderBy("ord").select("entity", "score", "bounded", "term").toLocalIterator():
         kinds.setdefault((r.entity, r.score, r.bounded), []).append(r.term)
     return [
         DictMatcher(entity, tuple(ts), score, bounded)

@@ -122,6 +122,7 @@ def role_matches(head: Column) -> Column:
 
 
 def head_of(text: Column, chars: int = vocab.HEAD_CHARS) -> Column:
+    """The head of a text, for a caller that wants no more than that scanned."""
     return text.substr(1, chars)
 
 
@@ -139,9 +140,8 @@ def dedupe_definitions(defs: Column) -> Column:
 
 
 def definitions(text: Column) -> Column:
-    head = head_of(text)
     return dedupe_definitions(
-        F.concat(define_matches(head), reverse_matches(head), role_matches(head))
+        F.concat(define_matches(text), reverse_matches(text), role_matches(text))
     )
 
 
@@ -152,10 +152,9 @@ def with_parties(docs: DataFrame) -> DataFrame:
     collection do.
     """
     text = F.col("text")
-    head = head_of(text)
     docs = docs.withColumn(
         "definitions",
-        F.concat(define_matches(head), reverse_matches(head), role_matches(head)),
+        F.concat(define_matches(text), reverse_matches(text), role_matches(text)),
     ).withColumn(
         "definitions",
         F.when(F.size("definitions") == 0, empty(DEFINITION)).otherwise(

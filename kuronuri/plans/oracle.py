@@ -199,10 +199,14 @@ def party_defs(kind: str, src: str = "heads") -> str:
  {pos} as position, s, e from (select doc_id, s, e, {label} as label, {name} as name from ({base}))"""
 
 
+#: Every form of definition has one of these.
+QUOTED = "(contains(text, '「') or contains(text, '『') or contains(text, '｢') or contains(text, '\"'))"
+
+
 def parties_cte(src: str = "corpus") -> str:
     """CTEs ``heads, alldefs, defs, self_names, counter_names, allow``."""
     fixed = (*vocab.TRADITIONAL_LABELS, *vocab.STRUCTURAL_TERMS)
-    return f"""heads as materialized (select doc_id, substr(text, 1, {vocab.HEAD_CHARS}) as text from {src}),
+    return f"""heads as materialized (select doc_id, text from {src} where {QUOTED}),
 alldefs as materialized ({party_defs('define')} union all {party_defs('reverse')} union all {party_defs('role')}),
 defs as materialized (select * exclude (rn) from (select *, row_number() over (partition by doc_id, label order by kind, s) as rn
  from alldefs where label <> '') where rn = 1),
@@ -274,7 +278,7 @@ chunks as materialized (select doc_id, n, pos as off, stop - pos as len from wal
  union all select doc_id, 0, 0, length(text) from {src} where length(text) <= {size})"""
 
 
-def full_cte(size: int = 15_000, overlap: int = 300, src: str = "corpus") -> str:
+def full_cte(size: int = 1 << 30, overlap: int = 300, src: str = "corpus") -> str:
     """CTEs that end in ``found``: candidates of the full tier over chunks."""
     return f"""{chunks_cte(src, size, overlap)},
 pieces as materialized (select concat(c.doc_id, '#', n) as doc_id, c.doc_id as doc, off,

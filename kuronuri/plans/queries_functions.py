@@ -272,16 +272,20 @@ def src_term_list(spark, sf_dir):
 @query(
     "src_dict_terms",
     "select term, cast(row_number() over (order by length(term) desc, ord) as integer) as place from"
-    f" (select * from ({TERM_SQL}) order by ord limit 300)",
+    f" ({TERM_SQL})",
 )
 def src_dict_terms(spark, sf_dir):
-    """The first 300 terms of a list, longest first."""
-    from kuronuri.operators.ordinals import row_number_in
+    """All terms of a list, longest first: lengths, then lines inside each, are running counts."""
+    from kuronuri.operators.ordinals import row_number_in, running
 
-    terms = parse_lines(_lines(spark, sf_dir)).withColumn("entity", F.lit("KEYWORD"))
-    capped = capped_terms(terms, 300)
-    by = capped.withColumn("neg", -F.length("term"))
-    return row_number_in(by, ["entity"], "neg", "place", ties=["ord"]).select("term", "place")
+    terms = parse_lines(_lines(spark, sf_dir)).withColumn("len", F.length("term"))
+    inside = row_number_in(terms, ["len"], "ord", "nth")
+    sizes = terms.groupBy("len").agg(F.count("*").alias("n"))
+    before = running(
+        sizes.select(F.lit(0).alias("g"), "len", (-F.col("len")).alias("neg"), "n"),
+        ["g"], "neg", F.col("n"), "longer").select("len", "longer")
+    return inside.join(before, "len").select(
+        "term", (F.col("longer") + F.col("nth")).cast("int").alias("place"))
 
 
 _POLICY = """entities: [{name: EMAIL, priority: 100}, {name: DATE}, {name: ID, priority: 7}]
@@ -295,7 +299,7 @@ performance: {nlp_chunk_size: 100}
     "src_policy",
     "select n_nationkey, case n_nationkey % 3 when 0 then 100 when 1 then 0 else 7 end as priority,"
     " n_nationkey / 10.0 < 0.5 as in_review, concat('甲', case when n_nationkey >= 100 then 'x' else '乙' end) as terms,"
-    " concat(400000, '/', 100, '/', 300, '/', 'LABEL') as others from nation",
+    " concat(0, '/', 100, '/', 300, '/', 'LABEL') as others from nation",
 )
 def src_policy(spark, sf_dir):
     """A policy file with some sections: its values and the defaults, as literals over the nations."""
@@ -317,7 +321,7 @@ def src_policy(spark, sf_dir):
 
 
 def _terms(spark, sf_dir, table, col):
-    rows = fx.table(spark, sf_dir, table).select(col).distinct().orderBy(col).limit(vocab.DICT_LIMIT)
+    rows = fx.table(spark, sf_dir, table).select(col).distinct().orderBy(col)
     return [r[0] for r in rows.toLocalIterator()]
 
 
@@ -331,7 +335,7 @@ def _dict_sql(select: str, col: str, bounded: bool) -> str:
     return (
         f"with corpus as materialized ({DICT_SQL}) select doc_id, cast(s as integer) as start,"
         f" cast(e as integer) as \"end\", m as original from ({spans})"
-        f" where lower(m) in (select lower(t) from (select distinct {col} as t from {select} order by t limit {vocab.DICT_LIMIT}))"
+        f" where lower(m) in (select lower(t) from (select distinct {col} as t from {select}))"
     )
 
 
@@ -360,14 +364,14 @@ def _dict_docs(spark, sf_dir):
 
 @query("det_dict_company", _dict_sql("supplier", "s_name", True))
 def det_dict_company(spark, sf_dir):
-    """All supplier names as company terms; a list above 64 terms is scanned by automaton."""
+    """All supplier names as company terms."""
     m = company_matcher(_terms(spark, sf_dir, "supplier", "s_name"))
     return detect_terms(_dict_docs(spark, sf_dir), m).select("doc_id", "start", "end", "original")
 
 
 @query("det_dict_keyword", _dict_sql("part", "p_brand", False))
 def det_dict_keyword(spark, sf_dir):
-    """Brands as keywords: a short list is one alternation."""
+    """Brands as keywords."""
     m = keyword_matcher(_terms(spark, sf_dir, "part", "p_brand"))
     return detect_terms(_dict_docs(spark, sf_dir), m).select("doc_id", "start", "end", "original")
 
@@ -454,7 +458,7 @@ def money_context(spark, sf_dir):
     return docs.select("doc_id", F.col("m.s").alias("start"), ctx.alias("has_context"))
 
 
-_BODY = "[^ \\t\\r\\n、。,.，．:：;；()（）\\[\\]［］{}｛｝<>＜＞《》【】「」『』\"''“”‘’・/\\\\|?!？！]{0,80}"
+_BODY = "[^ \\t\\r\\n、。,.，．:：;；()（）\\[\\]［］{}｛｝<>＜＞《》【】「」『』\"''“”‘’・/\\\\|?!？!]{0,80}"
 _CORPS = "株式会社|有限会社|合同会社|合名会社|合資会社|\\(株\\)|（株）"
 
 

@@ -21,12 +21,16 @@ def docs(spark, sf_dir):
     return fx.mixed(spark, sf_dir).unionByName(fx.party_texts(spark, sf_dir))
 
 
-def _one_form(name, matches):
-    sql = f"{CTE} select {DEF_COLUMNS} from ({o.party_defs(name[6:])})"
+def _one_form(name, matches, needs):
+    # One form only, over texts that can hold it.
+    sql = (
+        f"with heads as materialized (select doc_id, text from ({SRC}) where {o.QUOTED} and {needs})"
+        f" select {DEF_COLUMNS} from ({o.party_defs(name[6:])})"
+    )
 
     @query(name, sql)
     def run(spark, sf_dir):
-        found = matches(party.head_of(F.col("text")))
+        found = matches(F.col("text"))
         return (
             docs(spark, sf_dir).select("doc_id", F.explode_outer(found).alias("d"))
             .where(F.col("d").isNotNull())
@@ -34,9 +38,9 @@ def _one_form(name, matches):
         )
 
 
-_one_form("party_define", party.define_matches)
-_one_form("party_reverse", party.reverse_matches)
-_one_form("party_role", party.role_matches)
+_one_form("party_define", party.define_matches, "contains(text, 'という')")
+_one_form("party_reverse", party.reverse_matches, "true")
+_one_form("party_role", party.role_matches, "contains(text, 'という')")
 
 
 @query("party_dedupe", f"{CTE} select {DEF_COLUMNS} from defs")
@@ -166,4 +170,5 @@ def agg_distinct_terms(spark, sf_dir):
     f"select doc_id, substr(text, 1, 8000) as head from ({SRC})",
 )
 def limit_scan(spark, sf_dir):
+    """The head of a text: what a caller scans who asks for no more."""
     return docs(spark, sf_dir).select("doc_id", party.head_of(F.col("text")).alias("head"))

@@ -18,12 +18,14 @@ class Policy:
     review_threshold: float = 0.8
     address_granularity: str = "UNTIL_CITY"
     japanese_ratio_threshold: float = 0.2
-    max_rects_per_term: int = 50
-    min_term_length: int = 2
+    # 0 switches a limit off.  Limits leave hits unmasked or change what is found, so none is set
+    # unless a user asks for it.
+    max_rects_per_term: int = 0
+    min_term_length: int = 1
     priorities: Mapping[str, int] = field(default_factory=lambda: dict(vocab.PRIORITIES))
     force_fast: bool = False
-    fast_threshold_chars: int = 400_000
-    chunk_size: int = 15_000
+    fast_threshold_chars: int = 0
+    chunk_size: int = 0
     chunk_overlap: int = 300
     prefectures: tuple[str, ...] = vocab.PREFECTURES
     municipalities: tuple[str, ...] = vocab.MUNICIPALITIES
@@ -47,16 +49,16 @@ class Policy:
             review_threshold=float((doc.get("review") or {}).get("threshold", 0.8)),
             address_granularity=(doc.get("address") or {}).get("granularity", "UNTIL_CITY"),
             japanese_ratio_threshold=float(pdf.get("japanese_ratio_threshold", 0.2)),
-            max_rects_per_term=int(pdf.get("max_rects_per_term", 50)),
-            min_term_length=int(pdf.get("min_term_length", 2)),
+            max_rects_per_term=int(pdf.get("max_rects_per_term", 0)),
+            min_term_length=int(pdf.get("min_term_length", 1)),
             priorities={
                 (e.get("name") or ""): int(e.get("priority", 0) or 0)
                 for e in doc.get("entities") or []
                 if isinstance(e, Mapping)
             },
             force_fast=bool(perf.get("force_fast", False)),
-            fast_threshold_chars=int(perf.get("fast_threshold_chars") or 400_000),
-            chunk_size=int(perf.get("nlp_chunk_size") or 15_000),
+            fast_threshold_chars=int(perf.get("fast_threshold_chars") or 0),
+            chunk_size=int(perf.get("nlp_chunk_size") or 0),
             chunk_overlap=int(perf.get("nlp_chunk_overlap") or 300),
         )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kuronuri import vocab
 from kuronuri.functions.text import strip
 from kuronuri.operators.ordinals import row_number_in
 
@@ -38,7 +37,7 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(lines)
 
 
-def capped_terms(terms: DataFrame, limit: int = vocab.DICT_LIMIT, group: str = "entity",
+def capped_terms(terms: DataFrame, limit: int, group: str = "entity",
                  ord: str = "ord") -> DataFrame:
     """The first ``limit`` terms of each list, by order."""
     return (

@@ -49,7 +49,7 @@ PATTERNS: dict[str, Pattern] = {
         0.85, (("-",),), r"-\d{2,4}-"),
     "det_name_line": Pattern(
         "PERSON", "jp_name_line_with_space",
-        r"(?m)^[\t \u3000]*[一-龥]{1,4}[\t \u3000]+[一-龥]{1,4}[\t \u3000]*$", 0.86,
+        r"(?m)^[\t \u3000]*[一-龥]{1,4}[\t \u0020\u3000]+[一-龥]{1,4}[\t \u3000]*$", 0.86,
         (), r"[一-龥]"),
     "det_contact": Pattern(
         "PERSON", "tanto_single_surname", r"(?<=担当[:：])[一-龥]{2,4}", 0.82, (("担当",),)),
@@ -149,7 +149,7 @@ DATE_YMD = r"(\d{4})[\/\.\-年]\s*(\d{1,2})[\/\.\-月]\s*(\d{1,2})\s*(日)?"
 
 # Company designators and the characters that end a company name.
 COMPANY_DESIGNATORS = ("株式会社", "有限会社", "合同会社", "合名会社", "合資会社", "(株)", "（株）")
-COMPANY_BOUNDARIES = " \t\r\n、。,.，．:：;；()（）[]［］{}｛｝<>＜＞《》【】「」『』\"'“”‘’・/\\|?!？！"
+COMPANY_BOUNDARIES = " \t\r\n、。,.，．:：;；()（）[]［］{}｛｝<>＜＞《》【】「」『』\"'“”‘’・/\\|?!？!"
 COMPANY_BODY_MAX = 80
 MANUAL_LEFT = ("株式会社", "有限会社", "合同会社", "（株）", "(株)", "㈱")
 MANUAL_RIGHT = ("株式会社", "有限会社", "合同会社")
@@ -168,7 +168,6 @@ LABEL_FORMATS = {
 
 BLACK = "■"
 HEAD_CHARS = 8000
-DICT_LIMIT = 50_000
 DICT_COMPANY_SCORE = 0.995
 DICT_KEYWORD_SCORE = 0.99
 RECT_PAD = 0.5

@@ -168,7 +168,7 @@ def test_policy_file(spark, tmp_path):
     assert r.masked == "<1> <2> <1>" and len(r.review) == 3
     empty = tmp_path / "empty.yaml"
     empty.write_text("")
-    assert load_policy(str(empty)).chunk_size == 15_000
+    assert load_policy(str(empty)).chunk_size == 0
 
 
 def test_review_loop_round_trip(spark):
