@@ -77,7 +77,9 @@ def corpus(seed, groups, copies, edits):
 @pytest.mark.parametrize(("seed", "groups", "copies", "edits"),
                          [(1, 12, 12, 6), (2, 2, 70, 5), (3, 3, 40, 12)])
 def test_equals_brute_force(spark, monkeypatch, seed, groups, copies, edits):
-    monkeypatch.setattr(jaccard_join, "SHORT", 6)  # so that pivots and boundaries come into play
+    # So that pivots and boundaries come into play.
+    monkeypatch.setattr(jaccard_join, "SHORT", 6)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
     rows = corpus(seed, groups, copies, edits)
     assert result(spark, rows) == brute(rows)
 
