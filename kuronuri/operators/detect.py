@@ -241,9 +241,8 @@ def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatc
     """
     text = F.col("text")
     docs = docs.withColumn("tier", tier(F.length(text), policy))
-    fast = detect_fast(text, F.col(allow), patterns)
     if policy.force_fast:
-        return docs.withColumn("candidates", fast)
+        return docs.withColumn("candidates", detect_fast(text, F.col(allow), patterns))
 
     bounds = F.when(
         F.col("tier") != "fast", chunk_bounds(text, policy.chunk_size, policy.chunk_overlap)
@@ -272,6 +271,7 @@ def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatc
 
     merged = resolve_first(F.flatten(F.transform("chunks", one_chunk)), policy.priorities)
     if policy.fast_threshold_chars > 0:
+        fast = detect_fast(text, F.col(allow), patterns)
         merged = F.when(F.col("tier") == "fast", fast).otherwise(merged)
     return docs.withColumn("candidates", merged).drop("chunks", *scans)
 

@@ -63,8 +63,7 @@ def row_number_in(df: DataFrame, group: Sequence[str], order: str, name: str,
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str],
-                  right_span: tuple[str, str], width: int = 1024,
-                  how: str = "inner") -> DataFrame:
+                  right_span: tuple[str, str], width: int = 1024) -> DataFrame:
     """Pairs of rows of one ``key`` whose half-open spans overlap, each once.
 
     Both sides are laid on a grid of ``width`` positions and meet per grid cell,
@@ -82,7 +81,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[
 
     a = left.where(F.col(ls) < F.col(le)).withColumn("__cell", cells(ls, le))
     b = right.where(F.col(rs) < F.col(re_)).withColumn("__cell", cells(rs, re_))
-    pairs = a.join(b, [key, "__cell"], how)
+    pairs = a.join(b, [key, "__cell"])
     first = F.floor(F.greatest(ls, rs) / width)
     return pairs.where(
         (F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs)) & (F.col("__cell") == first)

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kuronuri import vocab
 from kuronuri.functions import text as tx
 from kuronuri.functions.spans import company_expand_end, overlap, priority
 from kuronuri.operators.dictionary import company_matcher, detect_terms, keyword_matcher
@@ -18,7 +15,7 @@ from kuronuri.plans import fixtures as fx
 from kuronuri.plans import oracle as o
 from kuronuri.plans.catalog import query
 from kuronuri.policy import Policy, load_policy
-from kuronuri.sources.terms import capped_terms, parse_lines
+from kuronuri.sources.terms import parse_lines
 from kuronuri.sources.texts import decode_auto
 
 
@@ -228,25 +225,14 @@ def src_route_ext(spark, sf_dir):
 # --- sources ----------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.BinaryType())
-def _encode(text: pd.Series, how: pd.Series) -> pd.Series:
-    return pd.Series([t.encode(h) for t, h in zip(text, how, strict=True)])
-
-
 @query("src_text_decode", f"select doc_id, text from ({fx.CONTRACTS_SQL})")
 def src_text_decode(spark, sf_dir):
-    """Contracts stored as bytes of three charsets come back as the same texts."""
-    how = F.expr("case cast(substr(doc_id, 2) as int) % 3 when 0 then 'utf-8' when 1 then 'cp932' else 'euc_jp' end")
-    # The yen sign is the one character here that the old charsets lack.
-    docs = fx.contracts(spark, sf_dir)
-    safe = F.when(how == "utf-8", F.col("text")).otherwise(F.replace("text", F.lit("¥"), F.lit("\\")))
-    raw = docs.select("doc_id", how.alias("how"), _encode(safe, how).alias("raw"))
-    back = decode_auto(F.col("raw"))
-    return raw.select(
+    """Contracts stored as bytes of two encodings come back as the same texts."""
+    wide = F.expr("cast(substr(doc_id, 2) as int) % 2 = 0")
+    raw = fx.contracts(spark, sf_dir).select(
         "doc_id",
-        F.when(F.col("how") == "utf-8", back).otherwise(F.replace(back, F.lit("\\"), F.lit("¥")))
-        .alias("text"),
-    )
+        F.when(wide, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8")).alias("raw"))
+    return raw.select("doc_id", decode_auto(F.col("raw")).alias("text"))
 
 
 LINES = case("p_partkey", ("concat('  ', p_name, p_partkey, ' ')", "concat('# ', p_name)", "'   '", "concat(p_brand, '　')"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
@@ -20,7 +16,8 @@ from kuronuri.plans.catalog import query
 from kuronuri.plans.masking import mask
 from kuronuri.policy import Policy
 from kuronuri.sources import sinks
-from kuronuri.sources.texts import PAYLOAD_SCHEMA, payload_spans
+from kuronuri.sources.folders import run_folder
+from kuronuri.sources.texts import payload_spans, read_payloads
 
 # --- spans laid out over the orders: one document per customer -----------------------------
 
@@ -641,12 +638,16 @@ def agg_report(spark, sf_dir):
 
 @query("sink_masked", _chain("select doc_id, masked from spliced"))
 def sink_masked(spark, sf_dir):
-    return sinks.masked_rows(_fast(spark, sf_dir))
+    path = run_folder(spark, "masked")
+    sinks.write_masked(_fast(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
 @query("sink_hits_csv", _chain('select entity as entity_type, cast(s as integer) as start, cast(e as integer) as "end", m as original, repl as replacement, score, reason, source from hits'))
 def sink_hits_csv(spark, sf_dir):
-    return sinks.csv_rows(_fast(spark, sf_dir))
+    path = run_folder(spark, "hits")
+    sinks.write_hits_csv(_fast(spark, sf_dir), path)
+    return sinks.read_hits_csv(spark, path)
 
 
 @query(
@@ -661,25 +662,31 @@ def sink_hits_csv(spark, sf_dir):
 )
 def sink_payload_json(spark, sf_dir):
     """The payload of every document as JSON: span count, and review items with their context."""
-    p = report.payload(_fast(spark, sf_dir), FAST)
-    back = p.select(F.from_json(F.to_json(F.struct("*")), PAYLOAD_SCHEMA).alias("p"))
-    items = F.transform("p.review_items", lambda r: F.concat_ws(":", r.id, r.mark_id, r.context_preview))
-    return back.select(
-        "p.doc_id", F.size("p.spans").alias("n_spans"), F.array_join(items, "|").alias("items")
+    items = F.transform("review_items", lambda r: F.concat_ws(":", r.id, r.mark_id, r.context_preview))
+    return _payloads(spark, sf_dir).select(
+        "doc_id", F.size("spans").alias("n_spans"), F.array_join(items, "|").alias("items")
     )
 
 
+def _payloads(spark, sf_dir):
+    """Payload files, written and read."""
+    path = run_folder(spark, "payloads")
+    sinks.write_payloads(_fast(spark, sf_dir), path, FAST)
+    return read_payloads(spark, path)
+
+
 @query("src_payload", _chain('select doc_id, concat(\'span_\', lpad(cast(row_number() over (partition by doc_id order by s) as varchar), 6, \'0\')) as span_id, entity as entity_type, cast(s as integer) as start, cast(e as integer) as "end", repl as replacement from hits'))
 def src_payload(spark, sf_dir):
     """Payloads written as JSON and read back give the spans again."""
-    p = report.payload(_fast(spark, sf_dir), FAST)
-    back = p.select(F.from_json(F.to_json(F.struct("*")), PAYLOAD_SCHEMA).alias("p")).select("p.*")
-    return payload_spans(back).select("doc_id", "span_id", "entity_type", "start", "end", "replacement")
+    return payload_spans(_payloads(spark, sf_dir)).select("doc_id", "span_id", "entity_type", "start", "end", "replacement")
 
 
 @query("sink_audit", _chain(f"select 'process_file' as action, t.doc_id, cast(count(h.s) as integer) as total_hits, cast(count(h.s) filter (where {o.REVIEW}) as integer) as review_hits from corpus t left join hits h on h.doc_id = t.doc_id group by t.doc_id"))
 def sink_audit(spark, sf_dir):
-    return report.audit_rows(_fast(spark, sf_dir)).drop("ts")
+    path = run_folder(spark, "audit")
+    sinks.append_audit(_fast(spark, sf_dir), path)
+    return spark.read.schema(
+        "action string, doc_id string, total_hits int, review_hits int").json(path)
 
 
 def _esc(x: str) -> str:
@@ -698,7 +705,9 @@ def _esc(x: str) -> str:
     ),
 )
 def sink_marked_html(spark, sf_dir):
-    return report.marked_html(_fast(spark, sf_dir)).drop("warn")
+    path = run_folder(spark, "html")
+    sinks.write_html(_fast(spark, sf_dir), path)
+    return spark.read.parquet(path).drop("warn")
 
 
 # --- streaming and extensions -----------------------------------------------------------------
@@ -707,18 +716,17 @@ def sink_marked_html(spark, sf_dir):
 @query("stream_mask", o.chain("select cast(substr(doc_id, 2) as bigint) as doc_id, masked from spliced", tier="fast", src=fx.DOCUMENTS_SQL))
 def stream_mask(spark, sf_dir):
     """Documents as a file stream, masked batch by batch."""
-    from kuronuri.streaming.mask_stream import mask_stream, write_stream
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    out = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
-    docs = (
-        spark.readStream.schema("doc_id bigint, text string")
-        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    from kuronuri.streaming.mask_stream import (
+        document_stream,
+        mask_stream,
+        read_masked,
+        write_stream,
     )
-    write_stream(mask_stream(docs, FAST), out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/masked").select("doc_id", "masked")
-
 
+    out = run_folder(spark, "stream")
+    docs = document_stream(spark, f"{sf_dir}/documents.parquet")
+    write_stream(mask_stream(docs, FAST), out, f"{out}/checkpoint").awaitTermination()
+    return read_masked(spark, out)
 
 
 @query(

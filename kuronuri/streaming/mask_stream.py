@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,11 +16,25 @@ from kuronuri.policy import Policy
 
 def document_stream(spark: SparkSession, path: str, schema: str = "doc_id bigint, text string",
                     max_files: int = 1000) -> DataFrame:
+    """Documents of a table, kept as one file or as a folder of part files."""
+    if path[-1:].isalnum():  # as a pattern, since a plain path has to be a folder
+        path = f"{path[:-1]}[{path[-1]}]"
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
     )
 
 
+def read_masked(spark: SparkSession, path: str, schema: str = "doc_id bigint, masked string"
+                ) -> DataFrame:
+    """Masked texts that :func:`write_stream` has written; none before its first batch."""
+    try:
+        return spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/masked").drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def mask_stream(docs: DataFrame, policy: Policy | None = None,
                 matchers: Sequence[DictMatcher] = ()) -> DataFrame:
     """Masked documents in append mode; labels are per document, so no state is kept."""

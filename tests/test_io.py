@@ -9,7 +9,12 @@ from kuronuri.operators import layout
 from kuronuri.sources import sinks
 from kuronuri.sources.terms import capped_terms, read_term_list
 from kuronuri.sources.texts import payload_spans, read_payloads, read_texts
-from kuronuri.streaming.mask_stream import document_stream, mask_stream, write_stream
+from kuronuri.streaming.mask_stream import (
+    document_stream,
+    mask_stream,
+    read_masked,
+    write_stream,
+)
 
 FAST = Policy(force_fast=True)
 
@@ -52,7 +57,8 @@ def test_sinks(spark, tmp_path):
     audit = spark.read.json(str(tmp_path / "audit"))
     assert audit.count() == 4 and set(audit.columns) == {"ts", "action", "doc_id", "total_hits", "review_hits"}
     sinks.write_masked_text(r, str(tmp_path / "text"))
-    assert (tmp_path / "text" / "name=masked_a.txt").exists()
+    texts = {t.doc_id: (t.name, t.text) for t in spark.read.json(str(tmp_path / "text")).collect()}
+    assert texts == {m.doc_id: (f"masked_{m.doc_id}", m.masked) for m in r.collect()}
     sinks.write_html(r, str(tmp_path / "html"), F.array(F.lit("w<1>")))
     page = spark.read.parquet(str(tmp_path / "html")).where("doc_id = 'a.txt'").first()
     assert page.left_html == 'x &quot;q&quot;, <mark id="m000001" class="mk">a@example.com</mark><br>end'
@@ -104,3 +110,12 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.doc_id, r.masked) for r in spark.read.parquet(str(tmp_path / "out/masked")).collect()}
     assert got == {(r.doc_id, r.masked) for r in mask(src, FAST).collect()}
     assert spark.read.parquet(str(tmp_path / "out/hits")).count() == 18
+    # One file is a table, too, and an empty folder an empty one.
+    file = next((tmp_path / "in").glob("part-*.parquet"))
+    one = mask_stream(document_stream(spark, str(file)), FAST)
+    write_stream(one, str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
+    assert read_masked(spark, str(tmp_path / "out2")).count() == spark.read.parquet(str(file)).count()
+    (tmp_path / "none").mkdir()
+    none = mask_stream(document_stream(spark, str(tmp_path / "none")), FAST)
+    write_stream(none, str(tmp_path / "out3"), str(tmp_path / "cp3")).awaitTermination()
+    assert read_masked(spark, str(tmp_path / "out3")).collect() == []
