@@ -14,7 +14,7 @@ theirs, in an order from rare to frequent.
    pivots, and all others are compared to them.
 3. Around a pivot: sets within the radius are linked to it and leave the list.  Sets beyond twice
    the radius can not be linked to those, by the triangle inequality: they stay in the list, which is
-   cut up again with new pivots.  Those in between (the boundary) stay too, and also meet the
+   joined again, with a new pivot if it is still long.  Those in between (the boundary) stay too, and also meet the
    inner ones: both are described by their differences to the pivot, which must have many shingles in common
    if they are linked, so they join again on rare ones of these.
 4. Links are put together to components.
@@ -40,8 +40,8 @@ from kuronuri.llm.tables import docs_of, stored
 
 #: Counters of the sketch that orders shingles, and buckets of a set's coarse counts.
 SLOTS, COARSE = 1 << 22, 256
-#: Lists up to this size are compared pair by pair.
-SHORT = 16
+#: Lists up to this size are compared pair by pair; so many times longer ones after each round.
+SHORT, GROWTH = 64, 16
 #: Bits of the filter that picks the documents whose whole sets are needed.
 PICK = 1 << 22
 
@@ -164,51 +164,56 @@ def _can_reach(pairs: DataFrame, coarse: DataFrame, permille: int) -> DataFrame:
 def _whole_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, members``: the whole sets of the wanted keys, made again from the texts.
 
-    A filter of fixed size, sent to all tasks, picks the documents; what it picks beyond the wanted
-    ones falls out by the join on the key.
+    Each set is made from one of its documents.  A filter of fixed size, sent to all tasks, picks these; what
+    it picks beyond the wanted ones falls out by the join on the key.
     """
+    chosen = stored(
+        described.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
+        .select("key", F.col("key").bitwiseXOR(F.xxhash64("id")).alias("mark")), "chosen")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(PICK, np.int64)
         for batch in batches:
-            keys = batch.column(0).to_numpy().astype(np.uint64)
-            bits[(keys % np.uint64(PICK)).astype(np.int64)] = 1
+            bits[_slot(batch.column(0).to_numpy())] = 1
         yield from blocks.send(bits)
 
     bits = np.packbits(
-        blocks.gathered(wanted.select("key").mapInArrow(mark, blocks.SCHEMA), PICK) > 0)
+        blocks.gathered(chosen.select("mark").mapInArrow(mark, blocks.SCHEMA), PICK) > 0)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picked = np.unpackbits(shared.value)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
+            names = batch.column(1).to_numpy()
             for at, end in pieces(texts):
                 owner, h = shingle_sets(texts[at:end])
                 size = np.bincount(owner, minlength=end - at)
                 full = np.flatnonzero(size)
                 if not len(full):
                     continue
-                starts = (np.cumsum(size) - size)[full]
-                keys = _set_key(h, starts, size[full])
-                good = picked[(keys.astype(np.uint64) % np.uint64(PICK)).astype(np.int64)] > 0
-                seen, where = np.unique(keys[good], return_index=True)
-                if len(seen):
-                    s, n = starts[good][where], size[full][good][where]
+                starts, n = (np.cumsum(size) - size)[full], size[full]
+                keys = _set_key(h, starts, n)
+                good = picked[_slot(keys ^ names[at:end][full])] > 0
+                if good.any():
                     yield _batch({
-                        "key": pa.array(seen),
+                        "key": pa.array(keys[good]),
                         "members": pa.array(
-                            [h[i : i + k].tobytes() for i, k in zip(s, n, strict=True)],
-                            pa.binary())})
+                            [h[i : i + k].tobytes()
+                             for i, k in zip(starts[good], n[good], strict=True)], pa.binary())})
+
+    made = docs_of(docs).select("text", F.xxhash64("doc_id").alias("name")).mapInArrow(
+        make, "key long, members binary")
+    return made.join(chosen, "key", "left_semi").dropDuplicates(["key"])
+
 
-    made = docs_of(docs).select("text").mapInArrow(make, "key long, members binary")
-    return made.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+def _slot(marks: np.ndarray) -> np.ndarray:
+    return (mix(marks.astype(np.uint64)) % np.uint64(PICK)).astype(np.int64)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, na, nb, shared, differ``: what pairs share, and for those within twice the radius the
-    shingles in which ``b`` differs from ``a``: first those that ``a`` lacks, then those only in
-    ``a``, each by hash."""
+    """``a, b, na, nb, shared, only_a, only_b``: what pairs share, and for those within twice the
+    radius the shingles that only one of both has, by hash."""
     both = (
         pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
         .join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a")
@@ -216,7 +221,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, na, nb, differ, added = [], [], [], [], []
+            shared, na, nb, only_a, only_b = [], [], [], [], []
             for ma, mb in zip(batch.column(2), batch.column(3), strict=True):
                 x = np.frombuffer(ma.as_buffer(), np.uint64)
                 y = np.frombuffer(mb.as_buffer(), np.uint64)
@@ -230,19 +235,20 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if 10 * n >= 6 * (len(x) + len(y) - n):
                     gone = np.ones(len(x), bool)
                     gone[at[there]] = False
-                    new, old = y[~there], x[gone]
-                    differ.append(np.concatenate([new, old]).astype(np.int64))
-                    added.append(len(new))
+                    only_a.append(x[gone].astype(np.int64))
+                    only_b.append(y[~there].astype(np.int64))
                 else:
-                    differ.append(None)
-                    added.append(None)
+                    only_a.append(None)
+                    only_b.append(None)
             yield _batch({
                 "a": batch.column(0), "b": batch.column(1), "na": pa.array(na, pa.int64()),
                 "nb": pa.array(nb, pa.int64()), "shared": pa.array(shared, pa.int64()),
-                "differ": pa.array(differ, pa.list_(pa.int64()))})
+                "only_a": pa.array(only_a, pa.list_(pa.int64())),
+                "only_b": pa.array(only_b, pa.list_(pa.int64()))})
 
     return both.mapInArrow(
-        compare, "a long, b long, na long, nb long, shared long, differ array<long>")
+        compare,
+        "a long, b long, na long, nb long, shared long, only_a array<long>, only_b array<long>")
 
 
 _LINKED = "100 * shared >= 80 * (na + nb - shared)"
@@ -267,16 +273,26 @@ def _boundary_links(around: DataFrame) -> DataFrame:
                 F.greatest(
                     9 * F.size("differ") - (F.col("nb") - F.col("na")),
                     F.when(~F.expr(_LINKED), 9 * F.size("differ") - F.col("nb") - F.col("na"))
-                    .otherwise(0)).alias("least")), "around")
-    first = rows.withColumn(
-        "meet", F.explode(F.slice(
-            "differ", 1, F.col("d") - F.greatest(F.ceil(F.col("least") / 18), F.lit(1)).cast("int")
-            + 1)))
-    left = first.where("outer").select("a", "meet", "x", "nx", F.col("d").alias("dx"))
+                    .otherwise(0), F.lit(18)).alias("least")), "around")
+    # Differences of one set go last by how many sets around the pivot have them; those that only
+    # one has meet nothing and only count for the place of the others.
+    met = (
+        rows.select("a", "x", "nx", "outer", "d", "least", F.explode("differ").alias("meet"))
+        .withColumn("df", F.count("*").over(W.partitionBy("a", "meet"))).where("df > 1"))
+    of_set = W.partitionBy("a", "x")
+    first = met.withColumn(
+        "place", F.col("d") - F.count("*").over(of_set)
+        + F.row_number().over(of_set.orderBy("df", "meet")) - 1
+    ).where("18 * (d - place) >= least")
+    left = first.where("outer").select(
+        "a", "meet", "x", "nx", F.col("d").alias("dx"), F.col("place").alias("px"))
     right = first.select("a", "meet", F.col("x").alias("y"), F.col("nx").alias("ny"),
-                         F.col("d").alias("dy"), F.col("outer").alias("other"))
+                         F.col("d").alias("dy"), F.col("place").alias("py"),
+                         F.col("outer").alias("other"))
+    # If the shingle is the first that both have, what lies behind it bounds what they share.
     pairs = left.join(right, ["a", "meet"]).where(
-        "x != y and (not other or x < y) and 5 * nx >= 4 * ny and 5 * ny >= 4 * nx"
+        "x != y and (not other or x < y) and 5 * nx >= 4 * ny and 5 * ny >= 4 * nx "
+        "and 18 * least(dx - px, dy - py) >= 9 * (dx + dy) - nx - ny"
     ).select("a", "x", "y").distinct()
     full = pairs.join(rows.select("a", "x", "nx", F.col("differ").alias("dx")), ["a", "x"]).join(
         rows.select("a", F.col("x").alias("y"), F.col("nx").alias("ny"),
@@ -303,74 +319,88 @@ def _in_lists(described: DataFrame) -> DataFrame:
 
 
 def _pairs_of_short(lists: DataFrame) -> DataFrame:
-    """Pairs inside short lists, as far as sizes and places allow.
+    """Pairs inside lists, as far as sizes and places allow.
 
-    If the shingle is the first that both share, at most what lies behind it in both is shared.
+    If the shingle is the first that both share, at most what lies behind it in both is shared; so
+    in the smaller set it stands among the first ninth.
     """
-    a = lists.select("token", F.col("key").alias("a"), F.col("n").alias("na"),
-                     F.col("place").alias("pa"))
+    a = lists.where("9 * place <= n").select(
+        "token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     b = lists.select("token", F.col("key").alias("b"), F.col("n").alias("nb"),
                      F.col("place").alias("pb"))
     return a.join(b, "token").where(
-        "a < b and 5 * na >= 4 * nb and 5 * nb >= 4 * na "
+        "a != b and na <= nb and 5 * na >= 4 * nb "
         "and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
-    ).select("a", "b").distinct()
+    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def set_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     """``a, b``: links of set keys; keys that they connect are those that similarity connects."""
     lists = stored(_in_lists(described), "lists")
-    coarse = described.where(F.col("key").isNotNull()).select("key", "n", "coarse").join(
-        lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    coarse = stored(coarse, "coarse")
-    short = lists.where(F.col("size") <= SHORT)
-    direct = stored(_can_reach(_pairs_of_short(short), coarse, 800), "pairs")
-    long_lists = lists.where(F.col("size") > SHORT)
-    wanted = (
-        direct.select(F.col("a").alias("key")).union(direct.select("b"))
-        .union(long_lists.select("key")).distinct())
-    wanted = stored(wanted, "wanted")
-    sets = stored(_whole_sets(docs, described, wanted), "sets")
-    done = [_compared(direct, sets).where(_LINKED).select("a", "b")]
-    around = []
-    pivots_per_list = 1
-    while not long_lists.isEmpty():
-        order = W.partitionBy("token").orderBy(F.desc("typical"), "key")
-        ranked = long_lists.withColumn("nth", F.row_number().over(order))
-        chosen = ranked.where(F.col("nth") <= pivots_per_list).select(
-            "token", F.col("key").alias("a"), F.col("n").alias("na"))
-        met = stored(
-            ranked.where(F.col("nth") > pivots_per_list).select("token", F.col("key").alias("b"), F.col("n").alias("nb"))
-            .join(chosen, "token").select("token", "a", "b", "na", "nb"), "met")
-        pivots = chosen.join(chosen.select("token", F.col("a").alias("b"), F.col("na").alias("nb")),
-                             "token").where("a < b").select("token", "a", "b", "na", "nb")
-        # Sizes alone may say that a set is beyond twice the radius.
-        asked = met.union(pivots).where("10 * na >= 6 * nb and 10 * nb >= 6 * na").select(
-            "a", "b").distinct()
-        seen = stored(_compared(_can_reach(asked, coarse, 600), sets).where(
-            F.col("differ").isNotNull()), "compared")
-        around.append(seen)
-        inner = met.join(seen.where(_LINKED).select("a", "b"), ["a", "b"], "left_semi").select(
-            "token", F.col("b").alias("key")).distinct()
-        rest = (
-            ranked.where(F.col("nth") > pivots_per_list).drop("nth", "size")
-            .join(inner, ["token", "key"], "left_anti")
-            .withColumn("size", F.count("*").over(W.partitionBy("token"))).where("size > 1"))
-        rest = stored(rest, "rest")
-        short = rest.where(F.col("size") <= SHORT)
-        done.append(_compared(_can_reach(_pairs_of_short(short), coarse, 800), sets)
-                    .where(_LINKED).select("a", "b"))
-        long_lists = rest.where(F.col("size") > SHORT)
-        pivots_per_list *= 2
-    for seen in around:
-        done.append(seen.where(_LINKED).select("a", "b"))
-        done.append(_boundary_links(seen))
-    out = done[0]
-    for more in done[1:]:
+    coarse = stored(
+        described.where(F.col("key").isNotNull()).select("key", "n", "coarse")
+        .join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "coarse")
+
+    def keys(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+
+    # Most sets are settled in short lists and around the first pivots of long ones.  What pivots
+    # leave over is mostly far apart, so that longer lists then count as short.
+    rest, short, sets, links = lists, SHORT, None, []
+    while not rest.isEmpty():
+        region = stored(_around_pivots(rest.where(F.col("size") > short)), "region")
+        near = region.where("10 * na >= 6 * n and 10 * n >= 6 * na").select(
+            F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        direct = _pairs_of_short(rest.where(F.col("size") <= short))
+        asked = stored(
+            _can_reach(direct, coarse, 800).union(_can_reach(near, coarse, 600)).distinct(), "asked")
+        wanted = keys(asked).distinct()
+        if sets is None:
+            sets = stored(_whole_sets(docs, described, wanted), "sets")
+        else:
+            new = stored(wanted.join(sets, "key", "left_anti"), "wanted")
+            if not new.isEmpty():
+                sets = stored(sets.union(_whole_sets(docs, described, new)), "sets")
+        seen = stored(_compared(asked, sets), "compared")
+        links.append(seen.where(_LINKED).select("a", "b"))
+        around, rest = _settled(region, seen)
+        links.append(_boundary_links(around))
+        short *= GROWTH
+    if not links:
+        return lists.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    out = links[0]
+    for more in links[1:]:
         out = out.union(more)
     return out
 
 
+def _around_pivots(lists: DataFrame) -> DataFrame:
+    """Rows of long lists with ``a, na``: the most typical set of the list, its pivot."""
+    first = W.partitionBy("token").orderBy(F.desc("typical"), "key")
+    return lists.withColumn("pivot", F.first(F.struct("key", "n")).over(first)).select(
+        "token", "key", "n", "place", "typical", F.col("pivot.key").alias("a"),
+        F.col("pivot.n").alias("na")).where("key != a")
+
+
+def _settled(region: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compared pairs (pivot ``a``, set ``b``) within twice the radius, and what stays in the lists."""
+    one = compared.where(F.col("only_a").isNotNull())
+    # Both ways, as either may be the pivot ``a``.  Differences to the pivot: first shingles that it
+    # lacks, then its own.
+    both = one.select(
+        "a", "b", "na", "nb", "shared", F.concat("only_b", "only_a").alias("differ")
+    ).union(one.select(
+        F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"),
+        F.col("na").alias("nb"), "shared", F.concat("only_a", "only_b").alias("differ")))
+    met = region.select("a", F.col("key").alias("b")).distinct()
+    around = stored(both.join(met, ["a", "b"], "left_semi"), "around-pivots")
+    inner = around.where(_LINKED).select("a", F.col("b").alias("key"))
+    rest = (
+        region.join(inner, ["a", "key"], "left_anti").drop("a", "na")
+        .withColumn("size", F.count("*").over(W.partitionBy("token"))).where("size > 1"))
+    return around, stored(rest, "rest")
+
+
 def _roots(docs: DataFrame, described: DataFrame) -> DataFrame:
     """``doc_id, key, n, root`` for every row: ``root`` names the component of the set."""
     roots = stored(components(set_links(docs, described)), "roots")
