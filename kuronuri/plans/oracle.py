@@ -7,6 +7,8 @@ run every start is tried, and the neighbours are tested by hand.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from kuronuri import vocab
 from kuronuri.plans import fixtures as fx
 
@@ -222,8 +224,23 @@ allow as materialized (select doc_id, name as term from self_names union select
 # --- folds --------------------------------------------------------------------------
 
 
+#: Priorities and label formats that the check SQL is built with.
+USED = {"priorities": vocab.PRIORITIES, "formats": vocab.LABEL_FORMATS}
+
+
+@contextmanager
+def policy_values(priorities, formats):
+    """Build SQL for a policy with values of its own."""
+    before = dict(USED)
+    USED.update(priorities=priorities, formats=formats)
+    try:
+        yield
+    finally:
+        USED.update(before)
+
+
 def prio(entity: str) -> str:
-    cases = " ".join(f"when {q(k)} then {v}" for k, v in vocab.PRIORITIES.items())
+    cases = " ".join(f"when {q(k)} then {v}" for k, v in USED["priorities"].items())
     return f"case {entity} {cases} else 0 end"
 
 
@@ -346,8 +363,11 @@ def money_context(text: str, s: str, e: str) -> str:
 
 def label_sql(entity: str, n: str) -> str:
     cases = []
-    for k, t in vocab.LABEL_FORMATS.items():
-        if "{n" in t:
+    for k, t in USED["formats"].items():
+        if "{n}" in t:
+            a, b = t.split("{n}")
+            cases.append(f"when {q(k)} then concat({q(a)}, {n}, {q(b)})")
+        elif "{n" in t:
             a, b = t.split("{n:02d}")
             cases.append(f"when {q(k)} then concat({q(a)}, lpad(cast({n} as varchar), cast(greatest(2, length(cast({n} as varchar))) as integer), '0'), {q(b)})")
         else:
@@ -360,7 +380,7 @@ def decide_cte(mode: str = "LABEL", src: str = "spans") -> str:
     """CTE ``hits`` for ``src(doc_id, s, e, entity, score, m, forced, label, freason)``."""
     fixed = ", ".join(q(t) for t in dict.fromkeys(("甲", "乙", "丙", "丁", *vocab.TRADITIONAL_LABELS, *vocab.STRUCTURAL_TERMS)))
     black = f"repeat('■', greatest(3, length(m)))"
-    numbered = "entity not in (" + ", ".join(q(k) for k, t in vocab.LABEL_FORMATS.items() if "{n" not in t) + ")"
+    numbered = "entity not in (" + ", ".join(["''", *(q(k) for k, t in USED["formats"].items() if "{n" not in t)]) + ")"
     tail = ("else 'mask:black'" if mode == "BLACK" else
             "when entity = 'DATE' then 'mask:date_granular' when entity = 'ADDRESS' then 'mask:address_granular' else 'mask:stable_id'")
     return f"""judged as materialized (select x.*, {norm('m')} as norm_m,

@@ -746,9 +746,13 @@ def ext_patterns(spark, sf_dir):
 _CUSTOM = Policy(label_format={"ID": "<{n}>"}, allow_terms=(), force_fast=True, priorities={"ID": 5})
 
 
-@query("ext_policy")
+with o.policy_values(_CUSTOM.priorities, _CUSTOM.label_format):
+    _CUSTOM_SQL = _chain('select doc_id, cast(s as integer) as start, cast(e as integer) as "end", repl as replacement from hits')
+
+
+@query("ext_policy", _CUSTOM_SQL)
 def ext_policy(spark, sf_dir):
-    """Own label formats and priorities (rows only; tests compare them by hand)."""
+    """Own label formats and priorities."""
     return report.hits_table(mask(fx.mixed(spark, sf_dir), _CUSTOM)).select("doc_id", "start", "end", "replacement")
 
 
