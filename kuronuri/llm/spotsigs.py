@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kuronuri.functions.arrays import let
 from kuronuri.llm.tables import docs_of
 
 # Common words of English, German, French, Spanish and Japanese.
@@ -54,16 +55,20 @@ def signatures(text: Column) -> Column:
 
     A text with words but no chain has one signature, all its words; one without words has none.
     """
-    plain = spaced(text)
-    spots = F.transform(
-        F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)),
-        # Anchors inside the chain go; the first one has no blank before it.
-        lambda s: F.regexp_replace(s, f"(?<=\\x20){_A}", ""),
-    )
-    hashed = F.array_distinct(F.transform(spots, lambda s: F.substring(F.md5(s), 1, 8)))
-    whole = F.when(plain == " ", F.array().cast("array<string>")).otherwise(
-        F.array(F.substring(F.md5(plain), 1, 8)))
-    return F.when(F.size(hashed) > 0, F.sort_array(hashed)).otherwise(whole)
+
+    # Each step is bound, so that it is done once for all its uses.
+    def of_plain(plain: Column) -> Column:
+        spots = F.transform(
+            F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)),
+            # Anchors inside the chain go; the first one has no blank before it.
+            lambda s: F.regexp_replace(s, f"(?<=\\x20){_A}", ""),
+        )
+        hashed = F.array_distinct(F.transform(spots, lambda s: F.substring(F.md5(s), 1, 8)))
+        whole = F.when(plain == " ", F.array().cast("array<string>")).otherwise(
+            F.array(F.substring(F.md5(plain), 1, 8)))
+        return let(hashed, lambda h: F.when(F.size(h) > 0, F.sort_array(h)).otherwise(whole))
+
+    return let(spaced(text), of_plain)
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
