@@ -262,35 +262,43 @@ def _boundary_links(around: DataFrame) -> DataFrame:
     the pivot, and are linked if that is at most a ninth of their sizes together.  Where ``x`` is
     not linked to the pivot, ``dx`` and ``dy`` must share more than
     ``(|dy| - (|y| - |pivot|) / 9) / 2`` shingles (and as many with ``x`` and ``y`` exchanged if
-    ``y`` is not linked either), so that they meet on one of the first of ``dy``.
+    ``y`` is not linked either), so that they meet on one of the first of ``dy``.  Where ``y`` is
+    linked to the pivot, ``dy`` may be short, and of ``dx`` only
+    ``(|dx| - (|x| + |pivot|) / 9) / 2`` shingles have to be shared: more of it counts as first.
     """
     pivots = around.where(f"not ({_LINKED})").select("a").distinct()
     rows = stored(
         around.join(pivots, "a", "left_semi")
         .select("a", F.col("b").alias("x"), F.col("nb").alias("nx"),
                 (~F.expr(_LINKED)).alias("outer"), F.size("differ").alias("d"), "differ",
-                # Twice nine times the least number of shared differences.
-                F.greatest(
-                    9 * F.size("differ") - (F.col("nb") - F.col("na")),
-                    F.when(~F.expr(_LINKED), 9 * F.size("differ") - F.col("nb") - F.col("na"))
-                    .otherwise(0), F.lit(18)).alias("least")), "around")
+                # Twice nine times the least number of shared differences: with a set that is not
+                # linked to the pivot, and with one that is.
+                F.greatest(9 * F.size("differ") - (F.col("nb") - F.col("na")), F.lit(18))
+                .alias("least"),
+                F.greatest(9 * F.size("differ") - F.col("nb") - F.col("na"), F.lit(18))
+                .alias("least_inner")), "around")
     # Differences of one set go last by how many sets around the pivot have them; those that only
     # one has meet nothing and only count for the place of the others.
     met = (
-        rows.select("a", "x", "nx", "outer", "d", "least", F.explode("differ").alias("meet"))
+        rows.select("a", "x", "nx", "outer", "d", "least", "least_inner",
+                    F.explode("differ").alias("meet"))
         .withColumn("df", F.count("*").over(W.partitionBy("a", "meet"))).where("df > 1"))
     of_set = W.partitionBy("a", "x")
     first = met.withColumn(
         "place", F.col("d") - F.count("*").over(of_set)
         + F.row_number().over(of_set.orderBy("df", "meet")) - 1
-    ).where("18 * (d - place) >= least")
+    ).withColumn("first", F.expr("18 * (d - place) >= least")).where(
+        "first or (outer and 18 * (d - place) >= least_inner)")
+    # Sets that are not linked to the pivot meet inner ones on more shingles than each other.
     left = first.where("outer").select(
-        "a", "meet", "x", "nx", F.col("d").alias("dx"), F.col("place").alias("px"))
-    right = first.select("a", "meet", F.col("x").alias("y"), F.col("nx").alias("ny"),
-                         F.col("d").alias("dy"), F.col("place").alias("py"),
-                         F.col("outer").alias("other"))
+        "a", "meet", "x", "nx", F.col("d").alias("dx"), F.col("place").alias("px"),
+        F.explode(F.when(F.col("first"), F.array(F.lit(False), F.lit(True)))
+                  .otherwise(F.array(F.lit(False)))).alias("other"))
+    right = first.where("first").select(
+        "a", "meet", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("d").alias("dy"),
+        F.col("place").alias("py"), F.col("outer").alias("other"))
     # If the shingle is the first that both have, what lies behind it bounds what they share.
-    pairs = left.join(right, ["a", "meet"]).where(
+    pairs = left.join(right, ["a", "meet", "other"]).where(
         "x != y and (not other or x < y) and 5 * nx >= 4 * ny and 5 * ny >= 4 * nx "
         "and 18 * least(dx - px, dy - py) >= 9 * (dx + dy) - nx - ny"
     ).select("a", "x", "y").distinct()

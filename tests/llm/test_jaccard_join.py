@@ -84,6 +84,33 @@ def test_equals_brute_force(spark, monkeypatch, seed, groups, copies, edits):
     assert result(spark, rows) == brute(rows)
 
 
+def test_outer_set_linked_only_to_an_inner_one(spark):
+    # Around a pivot of 900: one set without its last 20, and sets that also lack 95 others and have
+    # 95 of their own: within the radius of the inner set, not within that of the pivot.
+    rnd = random.Random(5)
+    pivot = set(range(900))
+    sets = {1: pivot - set(range(880, 900))}
+    for k in range(8):
+        sets[100 + k] = (sets[1] - set(rnd.sample(range(880), 95))
+                         | {1000 * (k + 1) + i for i in range(95)})
+    for k in range(70):
+        sets[2 + k] = pivot - {rnd.randrange(880)} | {100_000 + k}
+    around = spark.createDataFrame(
+        [(0, k, 900, len(s), len(s & pivot), [*sorted(s - pivot), *sorted(pivot - s)])
+         for k, s in sets.items()],
+        "a long, b long, na long, nb long, shared long, differ array<long>")
+
+    def linked(x, y):
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    assert linked(sets[1], pivot) and not any(linked(sets[100 + k], pivot) for k in range(8))
+    expected = {(x, y) for x in sets for y in sets if x > y and linked(sets[x], sets[y])
+                and not (linked(sets[x], pivot) and linked(sets[y], pivot))}
+    assert {(100 + k, 1) for k in range(8)} <= expected
+    got = jaccard_join._boundary_links(around).collect()
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} == expected
+
+
 def test_odd_rows(spark):
     text = "one two three four five six seven eight"
     rows = [
