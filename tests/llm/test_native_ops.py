@@ -3,11 +3,12 @@
 import hashlib
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from kuronuri.llm import spotsigs
+from kuronuri.llm import licenses, spotsigs
 from kuronuri.llm.licenses import scan_licenses
 from kuronuri.llm.mixing import mix_sources, mixed_documents
 from kuronuri.llm.pii import find_pii, mask_pii
@@ -258,3 +259,29 @@ def test_licences_and_inheritance(spark):
     assert got[10, "a/bb/x.py"] == ("MIT", "a") and got[None, "a/b/n.py"] == ("Apache-2.0", "a/b")
     assert got[12, "p/q.py"] == (None, None) and got[13, "long.txt"] == ("Apache-2.0", None)
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_whole_licence_texts_and_wrapped_headers(spark):
+    def text(name):
+        return (Path(licenses.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1",
+             "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    rows = []
+    for k, name in enumerate(names):
+        changed = text(name).replace("COPYRIGHT HOLDERS", "AUTHORS")
+        rows += [(k, f"p{k}/LICENSE", "Copyright (c) 2019 Some Body\n\n" + changed),
+                 (100 + k, f"p{k}/a/b.py", "import os")]
+    apache = ('# Copyright 2020 Some Body\n#\n# Licensed under the Apache License, Version 2.0 (the\n'
+              '# "License"); you may not use this file except in compliance\n# with the License.\n')
+    gpl = ("/*\n * This program is free software: you can redistribute it\n * and/or modify it under the "
+           "terms of the GNU\n * {}General Public License as published by the Free\n * Software "
+           "Foundation, either version {} of the License,\n * or (at your option) any later version.\n */")
+    rows += [(200, "q/a.py", apache), (201, "q/a.c", gpl.format("", 3)), (202, "q/b.c", gpl.format("", 2)),
+             (203, "q/c.c", gpl.format("Affero ", 3)), (204, "q/d.c", gpl.format("Lesser ", 3)),
+             (205, "q/e.txt", "we ask\nfor permission to see the\ncopyright office of the town")]
+    got = {r.doc_id: r.license for r in scan_licenses(
+        spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    expected = {k: n for k, n in enumerate(names)} | {100 + k: n for k, n in enumerate(names)}
+    assert got == expected | {200: "Apache-2.0", 201: "GPL-3.0", 202: "GPL-2.0", 203: "AGPL-3.0",
+                              204: "LGPL-3.0", 205: None}
