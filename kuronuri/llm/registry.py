@@ -14,7 +14,8 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "op1_query", "op2_query", "op3_query", "op4_query", "op5_query", "op6_query", "op7_query",
-    "op8_query", "op9_query", "op10_query", "pipeline_query",
+    "op8_query", "op9_query", "op10_query", "op11_query", "op12_query", "op13_query",
+    "pipeline_query",
 )
 
 
