@@ -19,7 +19,7 @@ from kuronuri.functions.regex import (
     whole_characters,
 )
 from kuronuri.functions.spans import CANDIDATE, candidate, resolve_first
-from kuronuri.operators.dictionary import DictMatcher
+from kuronuri.operators.dictionary import DictMatcher, kind_spans
 from kuronuri.policy import Policy
 from kuronuri.vocab import Pattern
 
@@ -232,9 +232,11 @@ def shift(cands: Column, off: Column) -> Column:
 
 def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatcher] = (),
                     patterns: Sequence[Pattern] = DEFAULT_PATTERNS,
-                    allow: str = "allow") -> DataFrame:
+                    allow: str = "allow", kinds: str | None = None) -> DataFrame:
     """Add ``tier`` and ``candidates``; reads ``text`` and the allow-list column.
 
+    ``kinds`` names the column that ``dictionary.with_terms`` made from a table of terms.
+
     The full tier is the chunked tier with one chunk, and the only one unless the policy
     sets limits: what is found does not depend on how long a text is.  Everything stays in the
     row of the document.
@@ -254,26 +256,21 @@ def with_candidates(docs: DataFrame, policy: Policy, matchers: Sequence[DictMatc
             lambda b: F.struct(b.off.alias("off"), text.substr(b.off + 1, b.len).alias("text")),
         ),
     )
-    # Dictionary spans per chunk; small lists are one more pattern, large ones
-    # come from a scan of the chunk texts.
-    scans = []
-    for i, m in enumerate(matchers):
-        name = f"dict_{i}"
-        docs = docs.withColumn(
-            name, m.spans(F.transform("chunks", lambda c: c.text), ord=len(patterns) + i)
-        )
-        scans.append(name)
-
-    def one_chunk(c: Column, i: Column) -> Column:
-        dicts = F.concat(*[F.get(F.col(n), i) for n in scans]) if scans else None
-        found = full_candidates(c.text, patterns, dicts)
+    def dict_spans(t: Column) -> list[Column]:
+        first = len(patterns)
+        found = [m.spans(t, ord=first + i) for i, m in enumerate(matchers)]
+        return found + ([kind_spans(t, F.col(kinds), first + len(matchers))] if kinds else [])
+
+    def one_chunk(c: Column) -> Column:
+        dicts = dict_spans(c.text)
+        found = full_candidates(c.text, patterns, F.concat(*dicts) if dicts else None)
         return shift(finish_full(found, F.col(allow), policy.priorities), c.off)
 
     merged = resolve_first(F.flatten(F.transform("chunks", one_chunk)), policy.priorities)
     if policy.fast_threshold_chars > 0:
         fast = detect_fast(text, F.col(allow), patterns)
         merged = F.when(F.col("tier") == "fast", fast).otherwise(merged)
-    return docs.withColumn("candidates", merged).drop("chunks", *scans)
+    return docs.withColumn("candidates", merged).drop("chunks")
 
 
 def detect(docs: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,

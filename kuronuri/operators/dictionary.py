@@ -1,18 +1,37 @@
-"""Dictionary detection: user terms found in texts, longest first, without overlaps."""
+"""Dictionary detection: user terms found in texts, longest first, without overlaps.
+
+Short lists travel as one pattern, a prefix tree spelled as a regular expression.  Tables of terms
+of any size are joined to the texts through an index of character runs: a term waits at its two
+rarest runs, so only texts that may hold it get its pattern.  Both ways find the same spans, and
+both are column functions.
+"""
 
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.spans import candidate
+from kuronuri.functions.arrays import fold_emit
+from kuronuri.functions.regex import java_regex, whole_characters
+from kuronuri.functions.spans import CANDIDATE, candidate
+from kuronuri.functions.text import blocks, cut
+from kuronuri.sources.folders import run_folder
+
+#: Put around matches; a noncharacter, and taken out of texts and terms before they are compared.
+MARK, NO_MARK = "\ufffe", "\ufffd"
+#: Characters of a run in the index.
+GRAM = 3
+_WORD = java_regex(r"\w").removeprefix("(?Ud)")
+KIND = "struct<entity:string,score:double,bounded:boolean,regex:string>"
+
+
+# --- one case for all letters -----------------------------------------------------------
 
 
 def fold_case(s: str) -> str:
@@ -30,9 +49,88 @@ def _fold(c: str) -> str:
     return (up if len(up) == 1 else c).lower()[0]
 
 
+@functools.cache
+def _folding() -> tuple[str, str]:
+    """All letters that change, and what they become."""
+    letters = (c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff")
+    pairs = [(c, _fold(c)) for c in letters if c.upper() != c or c.lower() != c]
+    return "".join(a for a, b in pairs if a != b), "".join(b for a, b in pairs if a != b)
+
+
+def folded(text: Column, ignore_case: bool = True) -> Column:
+    """The text in the form in which it is compared; no character moves."""
+    old, new = _folding() if ignore_case else ("", "")
+    return F.translate(text, old + MARK, new + NO_MARK)
+
+
+# --- patterns ---------------------------------------------------------------------------
+
+
+def _literal(s: str) -> str:
+    return "".join(f"\\{c}" if c.isascii() and not c.isalnum() else c for c in s)
+
+
+def _tree(terms: Sequence[str]) -> str:
+    """A pattern for sorted distinct terms that tries the longest first."""
+    out = []
+    for _, group in itertools.groupby(terms, key=lambda t: t[:1]):
+        same = list(group)
+        first, last = same[0], same[-1]
+        n = next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b),
+                 min(len(first), len(last)))
+        rest = [t[n:] for t in same if len(t) > n]
+        body = _literal(first[:n])
+        if rest:
+            body += f"(?:{_tree(rest)})" + ("?" if len(rest) < len(same) else "")
+        out.append(body)
+    return "|".join(out)
+
+
+def _bounds(bounded: Column, body: Column) -> Column:
+    return F.when(
+        bounded, F.concat(F.lit(f"(?<!{_WORD})(?:"), body, F.lit(f")(?!{_WORD})"))
+    ).otherwise(F.concat(F.lit("(?:"), body, F.lit(")")))
+
+
+def _spans(text: Column, regex: Column | str, ignore_case: bool = True) -> Column:
+    """``array<struct<s,e,m>>`` of the matches, ``m`` as it stands in the text.
+
+    Matches are put between marks in one pass, so every second piece is one.
+    """
+    marked = F.regexp_replace(folded(text, ignore_case), regex, f"{MARK}$0{MARK}")
+
+    def found(v: Column) -> Column:
+        def step(st, x):
+            e = st.pos + F.length(x)
+            row = F.struct(st.pos.alias("s"), e.alias("e"))
+            return F.struct(e.alias("pos"), (~st.hit).alias("hit")), st.hit, row
+
+        init = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"))
+        spans = fold_emit(F.split(v.marked, MARK, -1), init, step, "struct<s:int,e:int>")
+        return F.transform(
+            spans, lambda p: F.struct(p.s.alias("s"), p.e.alias("e"),
+                                      cut(v.pieces, p.s, p.e).alias("m")))
+
+    bound = F.struct(marked.alias("marked"), blocks(text).alias("pieces"))
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    return F.transform(
+        F.array(bound), lambda v: F.when(F.contains(v.marked, F.lit(MARK)), found(v)).otherwise(none)
+    )[0]
+
+
+def _candidates(spans: Column, entity, score, ord: Column | int) -> Column:
+    name = F.concat(F.lit("dict_"), entity) if isinstance(entity, Column) else f"dict_{entity}"
+    return F.transform(
+        spans,
+        lambda m: candidate(m.s, m.e, entity, score, pattern=name, ord=ord, original=m.m))
+
+
+# --- lists ------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class DictMatcher:
-    """Terms of one entity."""
+    """A list of terms of one entity, kept with the plan; tables of terms need none."""
 
     entity: str
     terms: tuple[str, ...]
@@ -41,20 +139,16 @@ class DictMatcher:
     ignore_case: bool = True
 
     @property
-    def ordered(self) -> tuple[str, ...]:
-        return tuple(sorted(self.terms, key=len, reverse=True))
+    def regex(self) -> str:
+        fold = fold_case if self.ignore_case else str
+        ts = sorted({fold(t).replace(MARK, NO_MARK) for t in self.terms if t})
+        body = _tree(ts) if ts else r"(?!)"
+        return f"(?<!{_WORD})(?:{body})(?!{_WORD})" if self.bounded else f"(?:{body})"
 
-    def spans(self, texts: Column, ord: int = 0) -> Column:
-        """For an array of texts, an array of candidate arrays."""
-        found = _scanner(self.ordered, self.bounded, self.ignore_case)(texts)
-        return F.transform(
-            found,
-            lambda ms: F.transform(
-                ms,
-                lambda m: candidate(m.s, m.e, self.entity, self.score,
-                                    pattern=f"dict_{self.entity}", ord=ord, original=m.m),
-            ),
-        )
+    def spans(self, text: Column, ord: int = 0) -> Column:
+        """The candidates of one text."""
+        found = _spans(text, self.regex, self.ignore_case)
+        return _candidates(found, self.entity, self.score, ord)
 
 
 def company_matcher(terms: Sequence[str]) -> DictMatcher:
@@ -65,51 +159,127 @@ def keyword_matcher(terms: Sequence[str]) -> DictMatcher:
     return DictMatcher("KEYWORD", tuple(terms), vocab.DICT_KEYWORD_SCORE, bounded=False)
 
 
-def _scanner(ordered: tuple[str, ...], bounded: bool, ignore_case: bool):
-    """Array-of-texts scan with one automaton per Python worker.
+def company_terms(terms: DataFrame, term: str = "term") -> DataFrame:
+    """A column of company names as a term table."""
+    return _kind(terms, term, "COMPANY", vocab.DICT_COMPANY_SCORE, True)
+
+
+def keyword_terms(terms: DataFrame, term: str = "term") -> DataFrame:
+    """A column of keywords as a term table."""
+    return _kind(terms, term, "KEYWORD", vocab.DICT_KEYWORD_SCORE, False)
+
+
+def _kind(terms: DataFrame, term: str, entity: str, score: float, bounded: bool) -> DataFrame:
+    return terms.select(
+        F.lit(entity).alias("entity"), F.col(term).alias("term"),
+        F.lit(score).cast("double").alias("score"), F.lit(bounded).alias("bounded"))
+
+
+# --- tables -----------------------------------------------------------------------------
+
+
+def _grams(text: Column, lengths: Sequence[int]) -> Column:
+    """The distinct runs of characters of some lengths, read at every place in one pass each."""
+    runs = [
+        F.regexp_extract_all(text, F.lit(whole_characters(f"(?s)(?=(.{{{n}}}))")), F.lit(1))
+        for n in lengths
+    ]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The term list travels with the task.
+
+def _key(doc_id: str = "doc_id") -> Column:
+    """Documents meet terms by this; ids that share it share terms, which are verified anyway."""
+    return F.xxhash64(doc_id)
+
+
+def possible_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``key, kind, term``: the terms that may stand in a document, in folded form.
+
+    ``terms(entity, term, score, bounded)``.  Runs of ``GRAM`` characters that any term needs (all of
+    a shorter term) are kept with the documents that hold them.  A term with a run that no document
+    holds is dropped; any other is looked up at its rarest run, and stays where its second rarest is
+    found as well.
     """
+    kind = F.struct("entity", F.col("score").cast("double").alias("score"), "bounded")
+    given = _written(
+        terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0)
+        .select(kind.alias("kind"), folded(F.col("term")).alias("term")).distinct(), "terms")
+    size = F.least(F.length("term"), F.lit(GRAM))
+    lengths = [r[0] for r in given.select(size).distinct().collect()] or [GRAM]  # at most GRAM rows
+    grams = given.select("term").distinct().select(
+        "term", F.when(size < GRAM, F.array("term")).otherwise(_grams(F.col("term"), [GRAM])).alias("gs"))
+    grams = grams.select("term", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
+    needed = _written(grams.select("gram").distinct(), "term-grams")
+    held = docs.select(
+        _key().alias("key"), F.explode(_grams(folded(F.col("text")), lengths)).alias("gram"))
+    index = _written(held.join(needed, "gram", "left_semi"), "gram-index")
+    often = index.groupBy("gram").agg(F.count("*").alias("often"))
+    rare = F.slice(F.sort_array(F.collect_list(F.struct("often", "gram"))), 1, 2)
+    anchors = (
+        grams.join(often, "gram").groupBy("term", "n")
+        .agg(F.count("*").alias("found"), rare.alias("rare")).where(F.col("found") == F.col("n"))
+        .select("term", F.get("rare", F.lit(0)).gram.alias("gram"),
+                F.get("rare", F.lit(1)).gram.alias("second"))
+        .join(given, "term")
+    )
+    met = index.join(anchors, "gram").select("key", "kind", "term", "second")
+    again = index.select("key", F.col("gram").alias("second"))
+    both = met.where(F.col("second").isNotNull()).join(again, ["key", "second"], "left_semi")
+    return both.unionByName(met.where(F.col("second").isNull())).select("key", "kind", "term")
+
+
+def document_patterns(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``key, kinds``: one pattern per kind of term that may stand in a document."""
+    special = r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+    item = F.struct(
+        "kind", (-F.length("term")).alias("n"),
+        F.regexp_replace("term", special, r"\\$1").alias("rx"),
+        F.regexp_replace(F.substring("term", 1, 1), special, r"\\$1").alias("head"))
+    # By kind, longest first.
+    found = possible_terms(docs, terms).groupBy("key").agg(
+        F.sort_array(F.collect_set(item)).alias("ts"))
+
+    def pattern(kind: Column) -> Column:
+        mine = F.filter("ts", lambda t: t.kind == kind)
+        # Where a text has none of the first characters, no term is tried.
+        body = F.concat(
+            F.lit("(?=["), F.array_join(F.array_distinct(F.transform(mine, lambda t: t.head)), ""),
+            F.lit("])(?:"), F.array_join(F.transform(mine, lambda t: t.rx), "|"), F.lit(")"))
+        return F.struct(kind.entity.alias("entity"), kind.score.alias("score"),
+                        kind.bounded.alias("bounded"), _bounds(kind.bounded, body).alias("regex"))
+
+    kinds = F.array_distinct(F.transform("ts", lambda t: t.kind))
+    return found.select("key", F.transform(kinds, pattern).alias("kinds"))
+
+
+def with_terms(docs: DataFrame, terms: DataFrame, name: str = "dict_kinds") -> DataFrame:
+    """``docs`` with the patterns of the terms that may stand in each text."""
+    found = document_patterns(docs, terms).select(
+        F.col("key").alias("__key"), F.col("kinds").alias(name))
+    none = F.array().cast(f"array<{KIND}>")
+    return (
+        docs.withColumn("__doc", _key()).join(found, F.col("__doc") == F.col("__key"), "left")
+        .withColumn(name, F.coalesce(F.col(name).cast(f"array<{KIND}>"), none)).drop("__doc", "__key")
+    )
 
-    @F.pandas_udf("array<array<struct<s:int,e:int,m:string>>>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        fold = fold_case if ignore_case else str
-        auto = ahocorasick.Automaton()
-        for t in ordered:
-            auto.add_word(fold(t), len(t))
-        auto.make_automaton()
-        word = re.compile(r"\w")
-
-        def one(text: str):
-            ends: dict[int, list[int]] = {}
-            for last, n in auto.iter(fold(text)):
-                s, e = last + 1 - n, last + 1
-                if bounded and (
-                    (s > 0 and word.match(text[s - 1]))
-                    or (e < len(text) and word.match(text[e]))
-                ):
-                    continue
-                ends.setdefault(s, []).append(e)
-            out, pos = [], 0
-            for s in sorted(ends):
-                if s >= pos:
-                    pos = max(ends[s])
-                    out.append((s, pos, text[s:pos]))
-            return out
-
-        for texts in batches:
-            yield texts.map(
-                lambda ts: None if ts is None else [None if t is None else one(t) for t in ts]
-            )
-
-    return scan
 
+def kind_spans(text: Column, kinds: Column, ord: int = 0) -> Column:
+    """Candidates of one text by the patterns that :func:`with_terms` gave its document."""
+    return F.flatten(
+        F.transform(
+            kinds,
+            lambda k, i: _candidates(_spans(text, k.regex), k.entity, k.score, i + ord),
+        )
+    ).cast(f"array<{CANDIDATE}>")
 
-def detect_terms(docs: DataFrame, matcher: DictMatcher) -> DataFrame:
-    """One row per dictionary match in the whole text."""
-    found = F.get(matcher.spans(F.array(F.col("text"))), F.lit(0))
+
+def _rows(docs: DataFrame, found: Column) -> DataFrame:
     return (
         docs.select("doc_id", F.explode_outer(found).alias("c"))
         .where(F.col("c").isNotNull())
@@ -118,25 +288,16 @@ def detect_terms(docs: DataFrame, matcher: DictMatcher) -> DataFrame:
     )
 
 
+def detect_terms(docs: DataFrame, matcher: DictMatcher) -> DataFrame:
+    """One row per match of a list in the whole text."""
+    return _rows(docs, matcher.spans(F.col("text")))
+
+
 def detect_term_table(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Dictionary matches for a table ``terms(entity, term, score, bounded)``.
+    """Dictionary matches for a table ``terms(entity, term, score, bounded)`` of any size.
 
-    All terms count.  The table is read to the driver and travels with the tasks.
+    Each kind of term is matched by itself: leftmost first, then longest, without overlaps.  Nothing
+    of the table goes to the driver.
     """
-    out = None
-    for m in matchers_from_table(terms):
-        part = detect_terms(docs, m)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = detect_terms(docs, DictMatcher("KEYWORD", (), 0.0, False)).where(F.lit(False))
-    return out
-
-
-def matchers_from_table(terms: DataFrame) -> list[DictMatcher]:
-    kinds: dict[tuple, list[str]] = {}
-    for r in terms.orderBy("ord").select("entity", "score", "bounded", "term").toLocalIterator():
-        kinds.setdefault((r.entity, r.score, r.bounded), []).append(r.term)
-    return [
-        DictMatcher(entity, tuple(ts), score, bounded)
-        for (entity, score, bounded), ts in sorted(kinds.items())
-    ]
+    docs = docs.select("doc_id", "text")
+    return _rows(with_terms(docs, terms), kind_spans(F.col("text"), F.col("dict_kinds")))

@@ -23,7 +23,7 @@ from kuronuri.functions.spans import (
 )
 from kuronuri.functions.text import blocks, cut, norm_terms
 from kuronuri.operators.detect import DEFAULT_PATTERNS, with_candidates
-from kuronuri.operators.dictionary import DictMatcher
+from kuronuri.operators.dictionary import DictMatcher, with_terms
 from kuronuri.operators.overrides import Overrides, with_overrides
 from kuronuri.operators.party import allowlist, with_parties
 from kuronuri.operators.replace import (
@@ -74,9 +74,13 @@ def expand_spans(spans: Column, pieces: Column, length: Column) -> Column:
 
 def mask(docs: DataFrame, policy: Policy | None = None, overrides: Overrides | None = None,
          matchers: Sequence[DictMatcher] = (),
-         patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> DataFrame:
+         patterns: Sequence[Pattern] = DEFAULT_PATTERNS,
+         terms: DataFrame | None = None) -> DataFrame:
     """Mask ``docs(doc_id, text)``.
 
+    ``matchers`` are short lists of dictionary terms; ``terms(entity, term, score, bounded)`` is a
+    table of them, of any size, that is joined to the texts.
+
     The result has one row per document: ``masked``, the arrays ``hits`` and
     ``review``, and the party columns.  Several outputs can be taken from it; to
     compute it once, write it out first (see ``sources.sinks.write_result``).
@@ -88,7 +92,10 @@ def mask(docs: DataFrame, policy: Policy | None = None, overrides: Overrides | N
         "allow",
         allowlist(policy.allow_terms, F.col("self_names"), F.col("party_labels"), F.col("once")),
     )
-    d = with_candidates(d, policy, matchers, patterns)
+    kinds = None
+    if terms is not None:
+        d, kinds = with_terms(d, terms), "dict_kinds"
+    d = with_candidates(d, policy, matchers, patterns, kinds=kinds)
     length, pieces = F.length("text"), F.col("pieces")
     d = d.withColumn("pieces", blocks(F.col("text")))
     d = d.withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kuronuri.functions import text as tx
 from kuronuri.functions.spans import company_expand_end, overlap, priority
-from kuronuri.operators.dictionary import company_matcher, detect_terms, keyword_matcher
+from kuronuri.operators.dictionary import company_terms, detect_term_table, keyword_terms
 from kuronuri.operators.layout import doc_warnings
 from kuronuri.operators.overrides import normalize_forced, normalize_keep
 from kuronuri.plans import fixtures as fx
@@ -306,11 +306,6 @@ def src_policy(spark, sf_dir):
 # --- dictionaries -----------------------------------------------------------------------
 
 
-def _terms(spark, sf_dir, table, col):
-    rows = fx.table(spark, sf_dir, table).select(col).distinct().orderBy(col)
-    return [r[0] for r in rows.toLocalIterator()]
-
-
 def _dict_sql(select: str, col: str, bounded: bool) -> str:
     # Brands run from 1 to 25, so the longest term at a place is one of these.
     core = "Supplier#[0-9]{9}" if bounded else "Brand#(?:1[0-9]|2[0-5]|[1-9])"
@@ -351,15 +346,17 @@ def _dict_docs(spark, sf_dir):
 @query("det_dict_company", _dict_sql("supplier", "s_name", True))
 def det_dict_company(spark, sf_dir):
     """All supplier names as company terms."""
-    m = company_matcher(_terms(spark, sf_dir, "supplier", "s_name"))
-    return detect_terms(_dict_docs(spark, sf_dir), m).select("doc_id", "start", "end", "original")
+    terms = company_terms(fx.table(spark, sf_dir, "supplier"), "s_name")
+    return detect_term_table(_dict_docs(spark, sf_dir), terms).select(
+        "doc_id", "start", "end", "original")
 
 
 @query("det_dict_keyword", _dict_sql("part", "p_brand", False))
 def det_dict_keyword(spark, sf_dir):
     """Brands as keywords."""
-    m = keyword_matcher(_terms(spark, sf_dir, "part", "p_brand"))
-    return detect_terms(_dict_docs(spark, sf_dir), m).select("doc_id", "start", "end", "original")
+    terms = keyword_terms(fx.table(spark, sf_dir, "part"), "p_brand")
+    return detect_term_table(_dict_docs(spark, sf_dir), terms).select(
+        "doc_id", "start", "end", "original")
 
 
 # --- predicates -------------------------------------------------------------------------
