@@ -27,7 +27,7 @@ HIT_ORDER = ("start", "end", "entity_type")
 #: Tree levels in one stored row; a block has two to the power of this many nodes.
 STRIDE = 8
 #: At most two to the power of this many leaves meet one copy of a node row.
-PART_BITS = 16
+PART_BITS = 12
 
 
 def digest(*parts: Column) -> Column:
