@@ -114,7 +114,7 @@ def _candidates(spark, sf_dir, policy):
     )
 
 
-def _found_sql(size: int) -> str:
+def _found_sql(size: int = 1 << 30) -> str:
     return (
         f"with recursive corpus as materialized ({fx.MIXED_SQL}), {o.parties_cte()}, {o.full_cte(size, 300)}"
         ' select doc_id, cast(s as integer) as start, cast(e as integer) as "end", entity, score,'
@@ -122,17 +122,16 @@ def _found_sql(size: int) -> str:
     )
 
 
-@query("detect_full", _found_sql(10_000_000))
+@query("detect_full", _found_sql())
 def detect_full(spark, sf_dir):
-    """Full tier over whole texts: case ignored, contained spans dropped, first fold."""
-    big = 10_000_000
-    return _candidates(spark, sf_dir, Policy(chunk_size=big, fast_threshold_chars=big))
+    """Full tier over whole texts of any length: case ignored, contained spans dropped, first fold."""
+    return _candidates(spark, sf_dir, Policy())
 
 
 @query("detect_chunked", _found_sql(2_000))
 def detect_chunked(spark, sf_dir):
     """Chunks of 2,000 characters, so that many texts have several."""
-    return _candidates(spark, sf_dir, Policy(chunk_size=2_000, fast_threshold_chars=10_000_000))
+    return _candidates(spark, sf_dir, Policy(chunk_size=2_000))
 
 
 @query(

@@ -514,9 +514,8 @@ def run_table(spark, sf_dir):
 
 
 def _layout(spark, sf_dir):
-    chars = layout.char_positions(run_table(spark, sf_dir), width=8)
-    hits = _stops(layout.runs_text(run_table(spark, sf_dir), width=8))
-    return chars, hits, layout.hit_chars(hits, chars)
+    placed = layout.place_runs(run_table(spark, sf_dir), width=8)
+    return placed, _stops(layout.placed_text(placed, width=8))
 
 
 @query("win_char_positions", f"with {_RUN_SQL} select doc_id, cast(pos as integer) as pos, page, x0, y0, x1, y1, ch from chars where ch <> chr(10)")
@@ -533,19 +532,21 @@ def chars_text(spark, sf_dir):
 
 @query("join_hit_chars", f"with {_RUN_SQL}, {_COVER_SQL} select doc_id, hit_no, cast(pos as integer) as pos, ch from covered")
 def join_hit_chars(spark, sf_dir):
-    return _layout(spark, sf_dir)[2].select("doc_id", "hit_no", "pos", "ch")
+    placed, hits = _layout(spark, sf_dir)
+    return layout.run_chars(hits, placed)
 
 
 @query("agg_rect_box", f"{_LAYOUT} select doc_id, hit_no, page, x0, y0, x1, y1 from rects")
 def agg_rect_box(spark, sf_dir):
-    rects = layout.hit_rects(layout.line_pieces(_layout(spark, sf_dir)[2], width=16))
+    placed, hits = _layout(spark, sf_dir)
+    rects = layout.hit_rects(layout.run_pieces(hits, placed))
     return rects.select("doc_id", "hit_no", "page", "x0", "y0", "x1", "y1")
 
 
 @query("win_rect_runs", f"{_LAYOUT} select doc_id, hit_no, cast(row_number() over (partition by doc_id, hit_no order by line) as integer) as rect_no, page, x0 - 0.5 as x0, y0 - 0.5 as y0, x1 + 0.5 as x1, y1 + 0.5 as y1 from rects")
 def win_rect_runs(spark, sf_dir):
-    rects = layout.hit_rects(layout.line_pieces(_layout(spark, sf_dir)[2]))
-    return layout.padded(rects)
+    placed, hits = _layout(spark, sf_dir)
+    return layout.padded(layout.hit_rects(layout.run_pieces(hits, placed)))
 
 
 # A cap of one rectangle and only two thirds of the positions make every outcome occur.
@@ -559,10 +560,11 @@ _DECIDE = f"""{_LAYOUT}, page_text as (select conv_id as doc_id, turn as page, t
 
 
 def _decided(spark, sf_dir):
-    chars, hits, covered = _layout(spark, sf_dir)
+    placed, hits = _layout(spark, sf_dir)
     pages = fx.texts(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
-    rects = layout.hit_rects(layout.line_pieces(covered))
-    lengths = chars.groupBy("doc_id").agg(F.floor(F.count("*") * 2 / 3).cast("int").alias("n_chars"))
+    rects = layout.hit_rects(layout.run_pieces(hits, placed))
+    lengths = layout.placed_lengths(placed).select(
+        "doc_id", F.floor(F.col("n_chars") * 2 / 3).cast("int").alias("n_chars"))
     return layout.decide_redaction(hits, rects, pages, lengths, Policy(max_rects_per_term=1))
 
 
@@ -587,7 +589,7 @@ def agg_pdf_stats(spark, sf_dir):
     " from hits h left join (select conv_id as doc_id, text from conversations) p on p.doc_id = h.doc_id and contains(p.text, h.original) group by all",
 )
 def join_term_pages(spark, sf_dir):
-    _, hits, _c = _layout(spark, sf_dir)
+    _, hits = _layout(spark, sf_dir)
     pages = fx.texts(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     return layout.search_pages(hits, pages)
 
