@@ -29,7 +29,7 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NOT_SPACE = regex.compile(f"[^{_SPACE}]+")
 #: Entries of each cache of a worker, and the longest text it keeps.
-CACHE, CACHE_CHARS = 250_000, 48
+CACHE, CACHE_CHARS = 60_000, 48
 #: Output rows go out in pieces of about so many ids.
 PIECE = 2_000_000
 
@@ -236,6 +236,12 @@ class Tokenizer:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that goes on to other tasks does not keep them."""
+        self.by_word, self.by_chunk = {}, {}
+        self.bpe.fits.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids: their tokens, a blank between."""
         tokens = pc.take(self.names, ids.flatten())
@@ -297,6 +303,7 @@ def encode_docs(docs: DataFrame, vocabulary: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(at, len(done)), _lists(done)], ["doc_id", "ids"])
                     at, done, size = k + 1, [], 0
+        tok.forget()
 
     return rows.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 

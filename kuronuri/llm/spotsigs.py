@@ -8,13 +8,16 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kuronuri.functions.arrays import let
+from kuronuri.llm.positions import in_order
 from kuronuri.llm.tables import docs_of
 
 # Common words of English, German, French, Spanish and Japanese.
@@ -95,51 +98,59 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs_of(docs).select("doc_id", signatures(F.col("text")).alias("fingerprint"))
 
 
-def followed(docs: DataFrame) -> DataFrame:
+def followed(docs: DataFrame, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """``doc_id, text, next_text``: every document with the text of the next one by ``doc_id``.
 
-    The last is followed by the first; null ids come last; rows of one id by their text's hash.  Documents
-    are dealt out in stretches of ascending ids and put in order there; of each stretch one row,
-    its first, goes to the one before.  ``doc_id`` is a whole number.
+    The last is followed by the first; null ids come last; rows of one id, or without one, follow by
+    the hashes of their texts.  Ids may be of any type that has an order.  Documents are dealt out in stretches
+    of ascending ids and put in order there; of each stretch one row, its first, goes to the one before.
+    ``mark`` adds what it makes of a text as ``mark`` and ``next_mark``, worked out once a row before rows move.
     """
-    rows = docs_of(docs).withColumn("id", F.col("doc_id").cast("double"))
-    n = rows.count()
-    parts = max(1, n // STRETCH)
-    cuts = sorted(set(
-        rows.stat.approxQuantile("id", [k / parts for k in range(1, parts)], 0.25 / parts)
-        if n and parts > 1 else []))
-    # Stretches start at these ids, found by halving.
-    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(_at(edges, cuts))
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
-    placed = rows.withColumn("stretch", number).drop("id")
-    key = F.struct(order[0].alias("k0"), "doc_id", order[2].alias("k2"))
-    firsts = placed.groupBy("stretch").agg(F.min_by("text", key).alias("first_text"))
+    mark = mark or (lambda text: F.lit(None).cast("string"))
+    key = [F.col("doc_id").isNull().alias("k0"), F.col("doc_id").alias("k1"),
+           F.xxhash64("text").alias("k2")]
+    rows = docs_of(docs)
+    order = in_order(rows.select(*key), [F.col("k0"), F.col("k1"), F.col("k2")], "at")
+    # One row in STRETCH comes to the driver: where stretches begin.
+    cuts = order.where(F.col("at") % STRETCH == 0).orderBy("at").drop("at").collect()
+    if not cuts:
+        return rows.select("doc_id", "text", mark(F.col("text")).alias("mark"),
+                           F.col("text").alias("next_text"), mark(F.col("text")).alias("next_mark"))
+    kind = rows.select(F.struct(*key).alias("k")).schema["k"].dataType.simpleString()
+    edges = F.from_json(
+        F.lit(json.dumps([r.asDict() for r in cuts], default=str)), f"array<{kind}>")
+    placed = rows.withColumn("stretch", _at(edges, len(cuts), F.struct(*key)))
+    firsts = placed.groupBy("stretch").agg(F.min_by("text", F.struct(*key)).alias("first_text"))
     # One row per stretch; its number alone tells the one before, the last one comes before the first.
     known = sorted(r.stretch for r in firsts.select("stretch").collect())
-    before = {s: known[k - 1] for k, s in enumerate(known)}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    if to is None:
-        return placed.select("doc_id", "text", F.col("text").alias("next_text"))
-    firsts = firsts.select(F.element_at(to, F.col("stretch")).alias("before"), "first_text")
-    inner = placed.withColumn("lead", F.lead(F.struct("text")).over(
-        W.partitionBy("stretch").orderBy(*order)))
-    last = inner.where(F.col("lead").isNull()).join(
-        firsts, F.col("stretch") == F.col("before")).select(
-        "doc_id", "text", F.col("first_text").alias("next_text"))
-    return inner.where(F.col("lead").isNotNull()).select(
-        "doc_id", "text", F.col("lead.text").alias("next_text")).union(last)
-
-
-def _at(edges: Column, cuts: list[float]) -> Column:
-    """How many of the sorted cuts are at most the id."""
-    out = F.lit(0)
-    step = 1 << max(len(cuts).bit_length() - 1, 0)
-    while step and cuts:
-        probe = F.get(edges, out + (step - 1))
-        out = out + F.when(probe <= F.col("id"), step).otherwise(0)
-        step >>= 1
-    return out
+    to = F.create_map(*[F.lit(x) for k, s in enumerate(known) for x in (s, known[k - 1])])
+    firsts = firsts.select(F.element_at(to, F.col("stretch")).alias("before"), "first_text",
+                           mark(F.col("first_text")).alias("first_mark"))
+    inner = placed.withColumn("mark", mark(F.col("text"))).withColumn(
+        "lead", F.lead(F.struct("text", "mark")).over(W.partitionBy("stretch").orderBy(*key)))
+    # Both sides are dealt by stretch, so texts do not move again.
+    ended = F.col("lead").isNull()
+    return inner.join(firsts, F.col("stretch") == F.col("before"), "left").select(
+        "doc_id", "text", "mark",
+        F.when(ended, F.col("first_text")).otherwise(F.col("lead.text")).alias("next_text"),
+        F.when(ended, F.col("first_mark")).otherwise(F.col("lead.mark")).alias("next_mark"))
+
+
+def _at(edges: Column, n: int, key: Column) -> Column:
+    """How many of the ``n`` sorted edges are at most the key, found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return let(key, lambda k: F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: at + F.when(F.get(edges, at + step - 1) <= k, step).otherwise(F.lit(0))))
+
+
+def _packed(prints: Column) -> Column:
+    """Signatures as four bytes each."""
+    return F.unhex(F.array_join(prints, ""))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(".{8}"), F.lit(0))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -147,16 +158,17 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has the first half (rounded up) of the text and then as many code points from
     the start of the next document as are missing, or all of them.  Returns ``doc_id, n_chars,
-    edited, fingerprint, edited_fingerprint, near_edited, near_next``; fingerprints are arrays.
+    edited, fingerprint, edited_fingerprint, near_edited, near_next``; fingerprints are arrays.  Null
+    texts are empty; rows that repeat follow one another; an empty table gives no rows.
     """
     half = F.floor(F.length("text") / 2).cast("int")
-    texts = followed(docs).withColumn("edited", F.concat(
+    texts = followed(docs, lambda t: _packed(signatures(t))).withColumn("edited", F.concat(
         F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)))
     marked = texts.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "edited",
-        signatures(F.col("text")).alias("fingerprint"),
+        _unpacked(F.col("mark")).alias("fingerprint"),
         signatures(F.col("edited")).alias("edited_fingerprint"),
-        signatures(F.col("next_text")).alias("next_fingerprint"))
+        _unpacked(F.col("next_mark")).alias("next_fingerprint"))
     own = F.col("fingerprint")
     return marked.select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",

@@ -285,3 +285,22 @@ def test_whole_licence_texts_and_wrapped_headers(spark):
     expected = {k: n for k, n in enumerate(names)} | {100 + k: n for k, n in enumerate(names)}
     assert got == expected | {200: "Apache-2.0", 201: "GPL-3.0", 202: "GPL-2.0", 203: "AGPL-3.0",
                               204: "LGPL-3.0", 205: None}
+
+
+def test_followed_takes_ids_of_any_type(spark):
+    rows = [(f"c{i:02d}", f"text {i}") for i in range(7)] + [("c03", "text 3"), (None, "b"), (None, "a"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for stretch in (2, 3, 2000):
+        was, spotsigs.STRETCH = spotsigs.STRETCH, stretch
+        try:
+            out = [tuple(r) for r in spotsigs.followed(df, F.upper).select(
+                "doc_id", "text", "mark", "next_text", "next_mark").collect()]
+        finally:
+            spotsigs.STRETCH = was
+        assert sorted((r[:2] for r in out), key=str) == sorted(rows, key=str)
+        assert all(r[2] == r[1].upper() and r[4] == r[3].upper() for r in out)
+        follow = {r[1]: {x[3] for x in out if x[1] == r[1]} for r in out}
+        assert follow["text 2"] == {"text 3"} and follow["text 3"] == {"text 3", "text 4"}
+        assert follow["text 6"] <= {"a", "b"} and sorted(r[3] for r in out) == sorted(r[1] for r in rows)
+    pairs = spotsigs.edited_pairs(df)
+    assert pairs.count() == len(rows)
