@@ -21,7 +21,7 @@ from kuronuri.functions.arrays import fold_emit
 from kuronuri.functions.regex import java_regex, whole_characters
 from kuronuri.functions.spans import CANDIDATE, candidate
 from kuronuri.functions.text import blocks, cut
-from kuronuri.sources.folders import run_folder
+from kuronuri.sources.folders import written
 
 #: Put around matches; a noncharacter, and taken out of texts and terms before they are compared.
 MARK, NO_MARK = "\ufffe", "\ufffd"
@@ -187,12 +187,6 @@ def _grams(text: Column, lengths: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _key(doc_id: str = "doc_id") -> Column:
     """Documents meet terms by this; ids that share it share terms, which are verified anyway."""
     return F.xxhash64(doc_id)
@@ -207,7 +201,7 @@ def possible_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     found as well.
     """
     kind = F.struct("entity", F.col("score").cast("double").alias("score"), "bounded")
-    given = _written(
+    given = written(
         terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0)
         .select(kind.alias("kind"), folded(F.col("term")).alias("term")).distinct(), "terms")
     size = F.least(F.length("term"), F.lit(GRAM))
@@ -215,10 +209,10 @@ def possible_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     grams = given.select("term").distinct().select(
         "term", F.when(size < GRAM, F.array("term")).otherwise(_grams(F.col("term"), [GRAM])).alias("gs"))
     grams = grams.select("term", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
-    needed = _written(grams.select("gram").distinct(), "term-grams")
+    needed = written(grams.select("gram").distinct(), "term-grams")
     held = docs.select(
         _key().alias("key"), F.explode(_grams(folded(F.col("text")), lengths)).alias("gram"))
-    index = _written(held.join(needed, "gram", "left_semi"), "gram-index")
+    index = written(held.join(needed, "gram", "left_semi"), "gram-index")
     often = index.groupBy("gram").agg(F.count("*").alias("often"))
     rare = F.slice(F.sort_array(F.collect_list(F.struct("often", "gram"))), 1, 2)
     anchors = (

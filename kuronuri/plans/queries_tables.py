@@ -9,7 +9,7 @@ from kuronuri.functions.regex import java_regex, match_spans
 from kuronuri.operators import layout, report, review, segments
 from kuronuri.operators.detect import detect_fast, pattern_spans
 from kuronuri.operators.overrides import keep_anti
-from kuronuri.operators.resolve import resolve_arrays, resolve_islands
+from kuronuri.operators.resolve import resolve_chains, resolve_islands
 from kuronuri.plans import fixtures as fx
 from kuronuri.plans import oracle as o
 from kuronuri.plans.catalog import query
@@ -65,7 +65,7 @@ def _kept(df):
 
 @query("resolve_final", f"with recursive {_CANDS}, {o.resolve('cands', 'kept', o.final_order())} select {_KEPT} from kept")
 def resolve_final_(spark, sf_dir):
-    return _kept(resolve_arrays(candidates(spark, sf_dir), final=True))
+    return _kept(resolve_chains(candidates(spark, sf_dir)))
 
 
 _PLAIN = "plain as (select * replace (false as forced) from cands)"
@@ -74,7 +74,7 @@ _PLAIN = "plain as (select * replace (false as forced) from cands)"
 @query("resolve_first", f"with recursive {_CANDS}, {_PLAIN}, {o.resolve('plain', 'kept', 's - e, ord')} select {_KEPT} from kept")
 def resolve_first_(spark, sf_dir):
     c = candidates(spark, sf_dir).withColumn("source", F.lit("analyzer"))
-    return _kept(resolve_arrays(c, final=False))
+    return _kept(resolve_chains(c))
 
 
 @query("resolve_islands", f"with recursive {_CANDS}, {o.resolve('cands', 'kept', o.final_order())} select {_KEPT} from kept")

@@ -9,7 +9,7 @@ from kuronuri.functions.spans import splice
 from kuronuri.functions.text import blocks, cut
 from kuronuri.operators.ordinals import interval_join, row_number_in, running
 from kuronuri.operators.overrides import keep_anti
-from kuronuri.operators.resolve import resolve_arrays, resolve_islands
+from kuronuri.operators.resolve import resolve_arrays, resolve_chains, resolve_islands
 
 ENTITIES = ["EMAIL", "PERSON", "COMPANY", "DATE", "CUSTOM"]
 
@@ -84,6 +84,24 @@ def test_resolved_spans_are_disjoint_in_a_hot_document(spark):
     assert got(resolve_arrays(table(spark, rows))) == expect(rows, True)
 
 
+def test_chains_equal_plain_loops(spark):
+    rows = random_candidates(3, docs=40, most=25, far=60)
+    rows = [(*r[:6], i) for i, r in enumerate(rows)]
+    # Chains over many cells: the way never returns, nested spans, and ever better ones.
+    steps = [(100, 5 * i, 5 * i + 10, "PERSON", 0.5, "analyzer", 0) for i in range(120)]
+    nested = [(101, i, 400 - i, "PERSON", 0.5, "analyzer", 0) for i in range(150)]
+    rising = [(102, i, i + 2 + 3 * i, "PERSON", 0.5, "analyzer", 0) for i in range(100)]
+    falling = [(103, i, i + 300 - 2 * i, "PERSON", 0.5, "analyzer", 0) for i in range(120)]
+    far = [(104, 0, 5000, "PERSON", 0.5, "analyzer", 0), (104, 4900, 4905, "PERSON", 0.5, "forced", 1),
+           (104, 4903, 4990, "EMAIL", 0.5, "analyzer", 2), (104, 70000, 70001, "DATE", 0.5, "analyzer", 3)]
+    rows += steps + nested + rising + falling + far
+    want = expect(rows, True)
+    for cell in (4, 20):  # 20: spans end and begin at borders of cells
+        assert got(resolve_chains(table(spark, rows), cell=cell)) == want
+    assert got(resolve_chains(table(spark, rows))) == want
+    assert resolve_chains(table(spark, rows).limit(0), cell=4).count() == 0
+
+
 def test_running_totals(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("aab"), i, rnd.randint(-5, 9)) for i in range(500)]
