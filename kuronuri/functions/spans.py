@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.arrays import fold_emit
+from kuronuri.functions.arrays import count_below, fold_emit, let
 from kuronuri.functions.text import cut
 
 CANDIDATE = (
@@ -111,13 +111,30 @@ def resolve_final(cands: Column, priorities: Mapping[str, int] = vocab.PRIORITIE
 
 
 def drop_kept(spans: Column, keep: Column) -> Column:
-    """Remove spans that overlap any keep-span."""
-    return F.when(F.size(keep) <= 0, spans).otherwise(
-        F.filter(
-            spans,
-            lambda r: ~F.exists(keep, lambda k: overlap(r.start, r.end, k.start, k.end)),
-        )
-    )
+    """Remove spans that overlap any keep-span.
+
+    Keep-spans are sorted by start, each with the farthest end up to it.  Of those that start before a
+    span's end, found by halving, the farthest end tells whether one overlaps.
+    """
+    by_start = F.array_sort(
+        F.transform(keep, lambda k: F.struct(k.start.alias("start"), k.end.alias("end"))))
+
+    def step(st, k):
+        far = F.greatest(st.far, k.end)  # skips nulls
+        return F.struct(far.alias("far")), F.lit(True), F.struct(
+            k.start.alias("start"), far.alias("far"))
+
+    reach = fold_emit(
+        by_start, F.struct(F.lit(None).cast("int").alias("far")), step, "struct<start:int,far:int>")
+
+    def outside(spans_: Column, ks: Column) -> Column:
+        def free(r: Column) -> Column:
+            n = count_below(ks, F.size(ks), lambda k: k.start < r.end)
+            return ~F.coalesce(F.get(ks, n - 1).far > r.start, F.lit(False))
+
+        return F.filter(spans_, free)
+
+    return F.when(F.size(keep) <= 0, spans).otherwise(let(reach, lambda ks: outside(spans, ks)))
 
 
 def splice(pieces: Column, length: Column, edits: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.arrays import empty, fold_emit, let
+from kuronuri.functions.arrays import empty, fold_emit
 from kuronuri.functions.company import suffix_spans
 from kuronuri.functions.regex import (
     could_match,
@@ -104,49 +104,34 @@ def dedupe_contained(cands: Column) -> Column:
 
     Better means higher score, then earlier, then longer, then earlier pattern.
     Containment is transitive, so looking at all spans equals looking at kept ones.
-    """
-
-    def rank(c: Column) -> Column:
-        return F.struct(
-            (-c.score).alias("score"), c.start.alias("start"), (c.start - c.end).alias("len"),
-            c.ord.alias("ord"),
-        )
 
-    def inside_other(all_: Column, c: Column) -> Column:
-        return F.exists(
-            all_,
-            lambda d: (d.start <= c.start) & (d.end >= c.end) & (d.entity == c.entity)
-            & (rank(d) < rank(c)),
+    By start, the longest and best first, a span lies in a better one if an earlier span of
+    its entity ends at or behind its end with at least its score.  Of the earlier ones only those count
+    that no other beats in both end and score: at most one for each score there is.
+    """
+    by_start = F.array_sort(
+        F.transform(
+            cands,
+            lambda c: F.struct(
+                c.entity.alias("entity"), c.start.alias("start"),
+                (c.start - c.end).alias("len"), (-c.score).alias("score"), c.ord.alias("ord"),
+                c.alias("c"),
+            ),
         )
+    )
+    front = "struct<end:int,score:double>"
 
-    # Sorted by entity and start, a span can only lie in another one if it ends at
-    # or before the farthest end so far.  Few do, so few are compared with all.
     def step(st, x):
-        same = st.entity.eqNullSafe(x.entity)
-        state = F.struct(
-            x.entity.alias("entity"),
-            F.when(same, F.greatest(st.reach, x.c.end)).otherwise(x.c.end).alias("reach"),
-        )
-        return state, F.lit(True), F.struct(
-            x.c.alias("c"), (same & (x.c.end <= st.reach)).alias("suspect")
-        )
-
-    def outermost(all_: Column) -> Column:
-        by_start = F.array_sort(
-            F.transform(
-                all_,
-                lambda c: F.struct(
-                    c.entity.alias("entity"), c.start.alias("start"),
-                    (c.start - c.end).alias("len"), rank(c).alias("rank"), c.alias("c"),
-                ),
-            )
-        )
-        start = F.struct(F.lit(None).cast("string").alias("entity"), F.lit(0).alias("reach"))
-        marked = fold_emit(by_start, start, step, f"struct<c:{CANDIDATE},suspect:boolean>")
-        kept = F.filter(marked, lambda m: ~m.suspect | ~inside_other(all_, m.c))
-        return F.transform(kept, lambda m: m.c)
-
-    return let(cands, outermost)
+        before = F.when(st.entity.eqNullSafe(x.entity), st.front).otherwise(empty(front))
+        inside = F.exists(before, lambda f: (f.end >= x.c.end) & (f.score >= x.c.score))
+        left = F.filter(before, lambda f: (f.end >= x.start) & (
+            (f.end > x.c.end) | (f.score > x.c.score)))
+        grown = F.array_append(left, F.struct(x.c.end.alias("end"), x.c.score.alias("score")))
+        state = F.struct(x.entity.alias("entity"), F.when(inside, before).otherwise(grown).alias("front"))
+        return state, ~inside, x.c
+
+    start = F.struct(F.lit(None).cast("string").alias("entity"), empty(front).alias("front"))
+    return fold_emit(by_start, start, step, CANDIDATE)
 
 
 def full_candidates(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS,

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from kuronuri import vocab
-from kuronuri.functions.spans import splice
+from kuronuri.functions.spans import candidate, drop_kept, splice
 from kuronuri.functions.text import blocks, cut
+from kuronuri.operators.detect import dedupe_contained
 from kuronuri.operators.ordinals import interval_join, row_number_in, running
 from kuronuri.operators.overrides import keep_anti
 from kuronuri.operators.resolve import resolve_arrays, resolve_chains, resolve_islands
@@ -102,6 +103,61 @@ def test_chains_equal_plain_loops(spark):
     assert resolve_chains(table(spark, rows).limit(0), cell=4).count() == 0
 
 
+def as_array(name="cs"):
+    c = candidate(F.col("start"), F.col("end"), F.col("entity"), F.col("score"), ord=F.col("ord"))
+    return F.collect_list(c).alias(name)
+
+
+def test_contained_spans_equal_all_pairs(spark):
+    rows = random_candidates(8, docs=80, most=20, far=15)
+    rows = [(*r[:3], r[3][:1], r[4], r[5], r[6] % 4) for r in rows]
+    rows = list({(r[0], r[1], r[2], r[3], r[4], r[6]): r for r in rows}.values())
+
+    def better(d, c):
+        return (d[0] == c[0] and d[3] == c[3] and d[1] <= c[1] and d[2] >= c[2]
+                and (-d[4], d[1], d[1] - d[2], d[6]) < (-c[4], c[1], c[1] - c[2], c[6]))
+
+    want = sorted((c[0], c[1], c[2], c[3], c[4], c[6]) for c in rows
+                  if not any(better(d, c) for d in rows))
+    out = table(spark, rows).groupBy("doc_id").agg(as_array()).select(
+        "doc_id", F.explode(dedupe_contained(F.col("cs"))).alias("c"))
+    assert sorted((r.doc_id, r.c.start, r.c.end, r.c.entity, r.c.score, r.c.ord)
+                  for r in out.collect()) == want
+
+
+def test_keep_spans_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    data = []
+    for _ in range(60):
+        spans = [(s, s + rnd.randint(0, 9)) for s in (rnd.randint(0, 40) for _ in range(rnd.randint(0, 9)))]
+        keep = [(s, s + rnd.randint(0, 12)) for s in (rnd.randint(0, 40) for _ in range(rnd.randint(0, 5)))]
+        data.append((spans, keep))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([*data, ([(0, 5)], None)], f"spans {kind}, keep {kind}")
+    out = df.select("spans", "keep", drop_kept(F.col("spans"), F.col("keep")).alias("left")).collect()
+    assert len(out) == 61
+    for r in out:
+        assert r.left == [s for s in r.spans if not any(
+            s.start < k.end and s.end > k.start for k in r.keep or [])]
+
+
+def test_many_nested_and_kept_spans_of_one_text(spark):
+    n = 100_000
+    found = spark.range(n).select(
+        F.lit(0).alias("doc_id"), F.col("id").cast("int").alias("start"),
+        (3 * n - F.col("id")).cast("int").alias("end"), F.lit("ID").alias("entity"),
+        F.lit(0.5).alias("score"), F.lit(0).alias("ord"))
+    row = found.groupBy("doc_id").agg(as_array())
+    assert row.select(F.size(dedupe_contained(F.col("cs"))).alias("n")).first().n == 1
+    kept = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        (i * 2).alias("start"), (i * 2 + 1).alias("end")))
+    spans = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        (i * 2 + i % 2).alias("start"), (i * 2 + i % 2 + 1).alias("end")))
+    left = spark.range(1).select(spans.alias("spans"), kept.alias("keep")).select(
+        F.size(drop_kept(F.col("spans"), F.col("keep"))).alias("n"))
+    assert left.first().n == n // 2
+
+
 def test_running_totals(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("aab"), i, rnd.randint(-5, 9)) for i in range(500)]
