@@ -280,12 +280,12 @@ def _running(values) -> Iterator[int]:
         yield total
 
 
-def encode_docs(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode_docs(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataFrame:
     """``doc_id, ids``: token ids of every whole text, without added marks, cut or padding.
 
     Special tokens written in a text count as such.  Null or empty text has no ids.  Rows stay one
     for one; other columns are left out.  Bounded memory: rows go out in pieces of about
-    :data:`PIECE` ids.
+    :data:`PIECE` ids.  ``keep`` leaves the caches, of bounded size, to the worker's next tasks.
     """
     rows = docs_of(docs)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -303,7 +303,8 @@ def encode_docs(docs: DataFrame, vocabulary: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(at, len(done)), _lists(done)], ["doc_id", "ids"])
                     at, done, size = k + 1, [], 0
-        tok.forget()
+        if not keep:
+            tok.forget()
 
     return rows.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 

@@ -14,7 +14,7 @@ from kuronuri.llm.tables import documents
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return decode_ids(encode_docs(documents(spark, sf_dir), path), path).select(
+    return decode_ids(encode_docs(documents(spark, sf_dir), path, keep=True), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
