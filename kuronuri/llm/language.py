@@ -174,11 +174,12 @@ def train_languages(labelled: DataFrame, calibration: int = CALIBRATION) -> Lang
     """Fit on ``doc_id, text, lang``; rows without a language or text are left out.
 
     N-gram counts per language come from all rows; only slopes and weights of the bits are fitted on
-    a sample of about ``calibration`` documents per language, drawn by a hash of the text.  What comes to
-    the driver is bounded by the number of languages, features and ``calibration``.
+    a sample of about ``calibration`` documents per language, drawn by a hash of id and text, so that
+    copies of one text are drawn one by one.  What comes to the driver is bounded by the number of
+    languages, features and ``calibration``; rows that repeat id and text too count as one there.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), "text")
+        F.col("lang").cast("string").alias("lang"), "text", "doc_id")
     known = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(known))
     number = {lang: k for k, lang in enumerate(languages)}
@@ -214,7 +215,7 @@ def train_languages(labelled: DataFrame, calibration: int = CALIBRATION) -> Lang
     for lang, n in known.items():
         keep = min(1.0, calibration / n)
         share = share | ((F.col("lang") == lang)
-                         & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(keep * (1 << 30))))
+                         & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(keep * (1 << 30))))
     shared = labelled.sparkSession.sparkContext.broadcast(weights)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +224,8 @@ def train_languages(labelled: DataFrame, calibration: int = CALIBRATION) -> Lang
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["lang", "x"])
 
-    seen = rows.where(share).mapInArrow(decide, "lang string, x array<double>").collect()
+    drawn = rows.where(share).distinct().select("lang", "text")
+    seen = sorted(drawn.mapInArrow(decide, "lang string, x array<double>").collect())
     slope, trust = np.ones(code.shape[1]), np.ones(code.shape[1])
     if seen:
         x = np.array([r.x for r in seen])

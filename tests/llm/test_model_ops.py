@@ -114,6 +114,31 @@ def test_languages(spark):
     assert {r.lang_pred for r in predict_languages(df.limit(3), nothing).collect()} == {"und"}
 
 
+def test_calibration_sample_is_bounded_however_often_a_text_is_copied(spark, monkeypatch):
+    fetched = []
+
+    def counted(self):
+        out = collect(self)
+        fetched.append(len(out))
+        return out
+
+    # Ten texts, a thousand copies each: a hash of the text alone would draw all or none of one.
+    # One row stands a thousand times with its id.
+    copies = spark.range(10_000).selectExpr(
+        "id as doc_id", "concat('the of and ', id % 10) as text", "'en' as lang")
+    repeated = spark.range(1_000).selectExpr("-1L as doc_id", "'the of and' as text", "'en' as lang")
+    other = spark.range(200).selectExpr("id + 20000 as doc_id", "concat('der die das ', id) as text",
+                                        "'de' as lang")
+    df = copies.unionByName(repeated).unionByName(other)
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", counted)
+    model = train_languages(df, calibration=50)
+    monkeypatch.undo()
+    assert max(fetched) < 2 * 50 + 60
+    asked = spark.createDataFrame([(1, "der die das"), (2, "the of and")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in predict_languages(asked, model).collect()} == {1: "de", 2: "en"}
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 40])
 def test_codewords_differ(n):
     code = codewords(n)
