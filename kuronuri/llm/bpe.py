@@ -28,8 +28,8 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Texts that hold these are split by :data:`_SPACE`, since ``str.split`` takes them for blanks.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NOT_SPACE = regex.compile(f"[^{_SPACE}]+")
-#: Entries of each cache of a worker, and the longest text it keeps.
-CACHE, CACHE_CHARS = 60_000, 48
+#: Entries of each cache of a worker, those where other stages follow, and the longest text kept.
+CACHE, SMALL_CACHE, CACHE_CHARS = 250_000, 60_000, 48
 #: Output rows go out in pieces of about so many ids.
 PIECE = 2_000_000
 
@@ -48,6 +48,26 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Recent(dict):
+    """A cache of at most ``room`` entries; when half of that is full, what was not used since the
+    last time goes."""
+
+    def __init__(self, room: int = CACHE) -> None:
+        super().__init__()
+        self.room, self.old = room, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.room // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def forget(self, room: int) -> None:
+        self.clear()
+        self.room, self.old = room, {}
+
+
 class WordBpe:
     """Merges of one vocabulary over words.
 
@@ -90,7 +110,7 @@ class WordBpe:
         for token, i in self.ids.items():
             self.finder.add_word(token, (len(token), i))
         self.finder.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: Recent = Recent()
         #: Whether merging a token's own text gives the token.
         self.reached = [False] * size
         for i in sorted(self.ids.values()):
@@ -111,9 +131,10 @@ class WordBpe:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= CACHE:
-                self.fits.clear()
-            known = self.fits[key] = self._compatible(left, right)
+            known = self.fits.old.get(key)
+            if known is None:
+                known = self._compatible(left, right)
+            self.fits.keep(key, known)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -196,30 +217,29 @@ class Tokenizer:
             names[i] = token
         #: All tokens in one buffer with a table of offsets.
         self.names = pa.array(names, pa.string())
-        self.by_word: dict[str, bytes] = {}
-        self.by_chunk: dict[str, bytes] = {}
+        self.by_word, self.by_chunk = Recent(), Recent()
 
     def _word(self, word: str) -> bytes:
         known = self.by_word.get(word)
         if known is None:
-            ids = self.bpe.encode(word.encode("utf-8"))
-            known = b"".join(i.to_bytes(4, "little") for i in ids)
+            known = self.by_word.old.get(word)
+            if known is None:
+                ids = self.bpe.encode(word.encode("utf-8"))
+                known = b"".join(i.to_bytes(4, "little") for i in ids)
             if len(word) <= CACHE_CHARS:
-                if len(self.by_word) >= CACHE:
-                    self.by_word.clear()
-                self.by_word[word] = known
+                self.by_word.keep(word, known)
         return known
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a stretch without blanks, four bytes each; nothing in it meets what is outside."""
         known = self.by_chunk.get(chunk)
         if known is None:
-            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            known = b"".join(map(self._word, self.words.findall(plain)))
+            known = self.by_chunk.old.get(chunk)
+            if known is None:
+                plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+                known = b"".join(map(self._word, self.words.findall(plain)))
             if len(chunk) <= CACHE_CHARS:
-                if len(self.by_chunk) >= CACHE:
-                    self.by_chunk.clear()
-                self.by_chunk[chunk] = known
+                self.by_chunk.keep(chunk, known)
         return known
 
     def _plain(self, text: str) -> bytes:
@@ -236,10 +256,10 @@ class Tokenizer:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def forget(self) -> None:
+    def forget(self, room: int = CACHE) -> None:
         """Empty the caches, so that a worker that goes on to other tasks does not keep them."""
-        self.by_word, self.by_chunk = {}, {}
-        self.bpe.fits.clear()
+        for cache in (self.by_word, self.by_chunk, self.bpe.fits):
+            cache.forget(room)
         pa.default_memory_pool().release_unused()
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -285,7 +305,8 @@ def encode_docs(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataFra
 
     Special tokens written in a text count as such.  Null or empty text has no ids.  Rows stay one
     for one; other columns are left out.  Bounded memory: rows go out in pieces of about
-    :data:`PIECE` ids.  ``keep`` leaves the caches, of bounded size, to the worker's next tasks.
+    :data:`PIECE` ids.  ``keep`` leaves the caches, of bounded size, to the worker's next tasks; without
+    it they are smaller and emptied after every task, for jobs in which other stages follow.
     """
     rows = docs_of(docs)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -293,6 +314,8 @@ def encode_docs(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(shared.value)
+        if not keep:
+            tok.forget(SMALL_CACHE)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at, done, size = 0, [], 0

@@ -65,6 +65,19 @@ def test_encode_and_decode_documents(spark, reference):
     assert [tuple(r) for r in decode_ids(null, PATH).collect()] == [(1, [], "")]
 
 
+def test_caches_are_bounded_and_change_nothing(reference):
+    from kuronuri.llm.bpe import Tokenizer, read_vocabulary
+
+    tok, rnd = Tokenizer(read_vocabulary(PATH)), random.Random(5)
+    tok.forget(8)
+    for _ in range(300):
+        text = " ".join("".join(rnd.choices("abcdeé,.の", k=rnd.randint(1, 7))) for _ in range(9))
+        ids = tok.encode(text)
+        got = [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)]
+        assert got == reference.encode(text, add_special_tokens=False).ids
+        assert all(len(c) + len(c.old) <= 8 for c in (tok.by_word, tok.by_chunk, tok.bpe.fits))
+
+
 def test_token_counts(spark, reference):
     texts = [*ODD, *["one two three"] * 5, *[f"word {'x y ' * k}" for k in range(30)]]
     hist = length_histogram(encoded_lengths(docs(spark, texts), PATH))
