@@ -105,16 +105,34 @@ def applied_log(joined: DataFrame, allow: DataFrame) -> DataFrame:
     )
 
 
-def apply_once(dets: DataFrame, actions: DataFrame) -> DataFrame:
-    """KEEP_ONCE and MASK_ONCE, click by click: the latest decides ``enabled``."""
-    once = (
+def last_clicks(actions: DataFrame) -> DataFrame:
+    """``doc_id, span_id, last_seq, last_op, forced``: what KEEP_ONCE and MASK_ONCE make of each span.
+
+    The highest ``seq`` counts (a null one comes before all others; of equal ones the operation that is
+    later in the alphabet), so neither order nor repetition of ``actions(doc_id, span_id, seq, op)`` matters.
+    ``forced``: a mask was asked for at some time.  Works on batches and streams.
+    """
+    return (
         actions.where(F.col("op").isin("KEEP_ONCE", "MASK_ONCE"))
         .groupBy("doc_id", "span_id")
         .agg(
-            F.max_by("op", "seq").alias("__last"),
-            F.bool_or(F.col("op") == "MASK_ONCE").alias("__forced"),
+            F.max(F.struct("seq", "op")).alias("last"),
+            F.bool_or(F.col("op") == "MASK_ONCE").alias("forced"),
         )
+        .select("doc_id", "span_id", F.col("last.seq").alias("last_seq"),
+                F.col("last.op").alias("last_op"), "forced")
     )
+
+
+def apply_once(dets: DataFrame, actions: DataFrame) -> DataFrame:
+    """KEEP_ONCE and MASK_ONCE, click by click: the latest decides ``enabled``."""
+    return apply_clicks(dets, last_clicks(actions))
+
+
+def apply_clicks(dets: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Detections with the decisions of :func:`last_clicks`; clicks on unknown spans fall away."""
+    once = clicks.select("doc_id", "span_id", F.col("last_op").alias("__last"),
+                         F.col("forced").alias("__forced"))
     return (
         dets.join(once, ["doc_id", "span_id"], "left")
         .withColumns(

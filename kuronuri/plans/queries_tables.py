@@ -15,7 +15,7 @@ from kuronuri.plans import oracle as o
 from kuronuri.plans.catalog import query
 from kuronuri.plans.masking import mask
 from kuronuri.policy import Policy
-from kuronuri.sources import sinks
+from kuronuri.sources import runs, sinks
 from kuronuri.sources.folders import run_folder
 from kuronuri.sources.texts import payload_spans, read_payloads
 
@@ -281,18 +281,36 @@ def apply_skipped(spark, sf_dir):
     return review.applied_log(joined(spark, sf_dir), have_terms(spark, sf_dir))
 
 
-@query(
-    "apply_once",
+_ONCE = (
     f"with a as (select doc_id, span_id, arg_max(op, seq) as last, bool_or(op = 'MASK_ONCE') as f from ({ACTIONS_SQL})"
     " where op in ('KEEP_ONCE', 'MASK_ONCE') group by doc_id, span_id)"
     " select d.doc_id, d.span_id, coalesce(last = 'MASK_ONCE', enabled) as enabled,"
-    f" case when f or forced then 'forced' else 'analyzer' end as source from {_DETS} d left join a using (doc_id, span_id)",
+    f" case when f or forced then 'forced' else 'analyzer' end as source from {_DETS} d left join a using (doc_id, span_id)"
 )
+
+
+@query("apply_once", _ONCE)
 def apply_once(spark, sf_dir):
     out = review.apply_once(dets(spark, sf_dir), actions(spark, sf_dir))
     return out.select("doc_id", "span_id", "enabled", "source")
 
 
+@query("stream_review", _ONCE)
+def stream_review(spark, sf_dir):
+    """The same clicks as a stream of files, some of them repeated, in the order in which files come."""
+    from kuronuri.streaming.review_stream import action_stream, read_clicks, write_clicks
+
+    out = run_folder(spark, "clicks")
+    a = actions(spark, sf_dir).select("doc_id", "span_id", "seq", "op")
+    # Dealt by the click, so that clicks on one span come in several files.
+    a.unionByName(a.where("seq % 5 = 0")).repartition(4, "seq").write.parquet(f"{out}/actions")
+    keys = "doc_id bigint, span_id string"
+    clicks = action_stream(spark, f"{out}/actions", f"{keys}, seq bigint, op string", max_files=2)
+    write_clicks(clicks, f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    decided = review.apply_clicks(dets(spark, sf_dir), read_clicks(spark, f"{out}/state", keys))
+    return decided.select("doc_id", "span_id", "enabled", "source")
+
+
 @query(
     "join_review_span",
     "with r as (select *, row_number() over (partition by doc_id order by start, seq) as j from"
@@ -685,10 +703,10 @@ def src_payload(spark, sf_dir):
 
 @query("sink_audit", _chain(f"select 'process_file' as action, t.doc_id, cast(count(h.s) as integer) as total_hits, cast(count(h.s) filter (where {o.REVIEW}) as integer) as review_hits from corpus t left join hits h on h.doc_id = t.doc_id group by t.doc_id"))
 def sink_audit(spark, sf_dir):
+    """Audit lines of a run: committed once, read back."""
     path = run_folder(spark, "audit")
-    sinks.append_audit(_fast(spark, sf_dir), path)
-    return spark.read.schema(
-        "action string, doc_id string, total_hits int, review_hits int").json(path)
+    runs.write_run(_fast(spark, sf_dir), path, "run-1", ["audit"])
+    return runs.read_run(spark, path, "audit").select("action", "doc_id", "total_hits", "review_hits")
 
 
 def _esc(x: str) -> str:

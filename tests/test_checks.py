@@ -15,7 +15,7 @@ NAMES = (
     "mask_documents", "mask_overrides", "mask_black", "det_email", "det_address", "chunk_split",
     "party_dedupe", "party_clean_name", "det_dict_company", "fn_address_granular", "join_keep_anti",
     "win_stable_id", "apply_skipped", "forced_dedupe", "splice_segment", "agg_pdf_stats",
-    "sink_marked_html", "stream_mask",
+    "sink_marked_html", "sink_audit", "stream_mask", "apply_once", "stream_review",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")

@@ -52,10 +52,9 @@ def test_sinks(spark, tmp_path):
     assert back.count() == 2
     span = payload_spans(back).first()
     assert (span.span_id, span.mark_id, span.doc_id) == ("span_000001", "m000001", "a.txt")
-    sinks.append_audit(r, str(tmp_path / "audit"))
-    sinks.append_audit(r, str(tmp_path / "audit"))
+    sinks.write_audit(r, str(tmp_path / "audit"))
     audit = spark.read.json(str(tmp_path / "audit"))
-    assert audit.count() == 4 and set(audit.columns) == {"ts", "action", "doc_id", "total_hits", "review_hits"}
+    assert audit.count() == 2 and set(audit.columns) == {"ts", "action", "doc_id", "total_hits", "review_hits"}
     sinks.write_masked_text(r, str(tmp_path / "text"))
     texts = {t.doc_id: (t.name, t.text) for t in spark.read.json(str(tmp_path / "text")).collect()}
     assert texts == {m.doc_id: (f"masked_{m.doc_id}", m.masked) for m in r.collect()}
